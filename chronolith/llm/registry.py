@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bitplane", "secret_linking", "cross_parsing", "simhash_bk", "bpe_piece"]
+MODULES = ["bitplane", "secret_linking", "cross_parsing", "simhash_bk", "bpe_piece", "winnowing"]
 
 
 def _collected(kind: str) -> dict:
