@@ -20,6 +20,7 @@ texts' hashes. An empty table gives an empty manifest and no rows. Extra columns
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +39,12 @@ MAGIC = b"BPLN0001"
 BLOCK = 1 << 16
 HEADER = "<IIIQQQ"
 #: Pieces between spaces whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Documents that are tokenised in one call of the library.
+TOGETHER = 1024
+
+#: The combining marks that compose with a letter of A-Z or a-z lie in this range.
+MARKS = re.compile("[\u0300-\u036f]").search
 
 SHARD = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -162,29 +168,75 @@ class ShardReader:
 
 
 class Pieces:
-    """Ids of texts by the tokenizers library, with the pieces between plain white space remembered.
+    """Ids of texts by the tokenizers library, with the pieces between ASCII white space remembered.
 
-    The vocabulary's splits drop white space and its normaliser never joins characters across it, so a text's ids are
-    those of its pieces one after the other.
+    The vocabulary's splits drop white space and part letters from punctuation, and its normaliser (NFC, then lower
+    case) joins no characters across either, so a text's ids are those of its pieces one after the other. A-Z are
+    lowered beforehand, unless a combining mark might then compose or a special token come about.
     """
 
+    #: Stands between new pieces in one call of the library; a control character that is a token of its own.
+    MARK = b"\x01"
+    #: Punctuation that is split off the end of a piece, to be remembered apart.
+    TAIL = b",.!?;:"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list({p for p in pieces if p not in self.known})
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, pieces))
+        mark = self._ids(self.MARK.decode())
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run of letters
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        known = self.known
+        cut = {p: (core, p[len(core) :]) for p in pieces if (core := p.rstrip(self.TAIL)) and core.decode().isalpha()}
+        letters = [c for c in {core for core, _ in cut.values()} if c not in known]
+        ids = self._ids(b" ".join(letters).decode())
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(letters):  # a run of letters ends with one such token
+            raw, at = ids.tobytes(), 0
+            for piece, stop in zip(letters, (4 * stops).tolist(), strict=True):
+                known[piece] = raw[at:stop]
+                at = stop
+        else:
+            self._marked(letters)
+        self._marked([p for p in {*(pieces - cut.keys()), *(tail for _, tail in cut.values() if tail)} if p not in known])
+        for piece, (core, tail) in cut.items():
+            if tail:
+                known[piece] = known[core] + known[tail]
+
+    def _marked(self, pieces: list[bytes]) -> None:
+        """Learns any pieces: one call for those without the mark, one each for the others."""
+        plain = [p for p in pieces if self.mark is not None and self.MARK not in p]
+        ids = self._ids((b" %s " % self.MARK).join(plain).decode())
+        raw, at = ids.tobytes(), 0
+        stops = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(raw)] if plain else []
+        for piece, stop in zip(plain, stops, strict=True):
+            self.known[piece] = raw[at:stop]
+            at = stop + 4
+        for piece in pieces:
+            if piece not in self.known:
+                self.known[piece] = self._ids(piece.decode()).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        known, cut, new = self.known, [], set()
+        if len(known) > REMEMBERED:
+            known.clear()
+        for text in texts:
+            raw = text.encode()
+            cut.append((raw if "<|" in text or not text.isascii() and MARKS(text) else raw.lower()).split())
+            new.update(cut[-1])
+        if new := {p for p in new if p not in known}:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -207,14 +259,16 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         shard, own, writer, stream, path = TaskContext.get().partitionId(), pieces_of(tokenizer), None, None, ""
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None:
-                    files, root = pafs.FileSystem.from_uri(folder)
-                    files.create_dir(root, recursive=True)
-                    path = f"{folder}/part-{shard:06d}-{uuid.uuid4().hex[:8]}.bpl"
-                    stream = files.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}")
-                    writer = ShardWriter(stream, end_id, block, bits)
-                writer.add(doc_id, own.encode(text.as_py() or ""))
+            if writer is None and batch.num_rows:
+                files, root = pafs.FileSystem.from_uri(folder)
+                files.create_dir(root, recursive=True)
+                path = f"{folder}/part-{shard:06d}-{uuid.uuid4().hex[:8]}.bpl"
+                stream = files.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}")
+                writer = ShardWriter(stream, end_id, block, bits)
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                for doc_id, ids in zip(some.column(0).to_pylist(), own.encode_all([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    writer.add(doc_id, ids)
         if writer is not None:
             n_docs, n_ids, n_bytes = writer.close()
             stream.close()
