@@ -68,3 +68,17 @@ def _fallback() -> str:
 def sized(df: DataFrame) -> bool:
     """Whether a DataFrame has any row."""
     return bool(df.take(1))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int, chars: int) -> list[tuple[str, int]]:
+    """(text, label) of rows that are not held out, for fitting: a bounded sample whose bounds are parameters.
+
+    Of each class the per_class labels with the least hashes of doc_id are taken, from them the documents of at most
+    `chars` characters; so at most 2 * per_class * chars characters reach the driver. The chosen labels, 2 * per_class
+    rows, are what is broadcast. Null labels and ids are left out; an id with both labels counts with both.
+    """
+    rows = labels.selectExpr("cast(doc_id as long) doc_id", f"cast({column} as int) y").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = [rows.filter(F.col("y") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y") for y in (0, 1)]
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) <= chars)
+    got = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
+    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.y, r.text))]
