@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bitplane", "quantised_pairs", "secret_linking", "cross_parsing", "simhash_bk", "bpe_piece", "winnowing", "weak_toxicity", "attention_quality"]
+MODULES = ["bitplane", "quantised_pairs", "secret_linking", "cross_parsing", "simhash_bk", "bpe_piece", "winnowing", "weak_toxicity", "attention_quality", "html_wrappers"]
 
 
 def _collected(kind: str) -> dict:
