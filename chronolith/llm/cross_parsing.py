@@ -166,7 +166,7 @@ def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHA
 def identify(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
     """One row per document with the language, its score and the phrases it needed. No shuffle.
 
-    keep: columns of docs that the result carries along, instead of doc_id and held_out alone.
+    keep: columns of docs that go along beside text, in place of doc_id and held_out.
     """
     spark = docs.sparkSession
     shared, key = spark.sparkContext.broadcast(sample), str(hash(tuple(sample)))
@@ -187,13 +187,14 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | N
                     taken, size = [], 0
             found += parser.predict(taken)
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], "lang_pred", "score", "n_phrases"])
+            first = 0 if keep is not None else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], *made], names=[*batch.schema.names[first:], "lang_pred", "score", "n_phrases"])
 
     if keep is None:
-        frame = docs.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
-    else:
-        frame = docs.select(F.col("text").alias("_text"), *[docs[c] for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
+        frame = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+        return frame.mapInArrow(each, OUT)
+    frame = docs.select("text", *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
     return frame.mapInArrow(each, schema + ", lang_pred string, score double, n_phrases long")
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronolith.llm.common import table
 
@@ -41,7 +42,7 @@ BLANK = re.compile(r"\n[\x20\t\r]*\n")
 #: role of each kind, and whether one such part is evidence by itself
 ROLE = {"assign": ("secret", True), "access": ("identifier", True), "hex": ("secret", False), "login": ("identifier", False), "opaque": ("secret", False), "endpoint": ("endpoint", False)}
 
-OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+OUT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 Span = tuple[int, int, str]
 
@@ -125,28 +126,32 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
-def scan_secrets(docs: DataFrame, redact: bool = False) -> DataFrame:
-    """One row per document with counts, digest and spans; with redact also `text` with every span masked.
+def scan_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per document with counts, digest and spans. One Arrow pass, no shuffle.
 
-    One Arrow pass over (doc_id, text), no shuffle.
+    keep: columns of docs that go along beside `text`, which then has every span masked, in place of doc_id.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
+            rows, texts = [], []
+            for value in batch.column(0):
                 raw = value.as_py()
                 text = raw or ""
                 base = base_spans(text)
                 spans = in_order([*base, *linked_spans(text, base)])
                 count = Counter(s[2] for s in base)
-                rows.append((count["assign"], count["access"], count["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), *([redacted(text, spans) if spans else raw] if redact else [])))
-            kinds = [pa.int64()] * 3 + [pa.string()] * (3 if redact else 2)
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "text"]
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names[: 1 + len(kinds)])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(each, OUT + (", text string" if redact else ""))
+                rows.append((count["assign"], count["access"], count["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
+                if keep is not None:
+                    texts.append(redacted(text, spans) if spans else raw)
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int64()] * 3 + [pa.string()] * 2)]
+            first = [] if keep is None else [pa.array(texts, pa.string())]
+            names = batch.schema.names[0 if first else 1 :]
+            yield pa.RecordBatch.from_arrays([*first, *batch.columns[1:], *made], names=[*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    frame = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")) if keep is None else docs.select("text", *keep)
+    fields = frame.schema.fields[0 if keep is not None else 1 :]
+    return frame.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + OUT)
 
 
 def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
