@@ -211,7 +211,9 @@ def links_within(fps: DataFrame, work: Workspace, radius: int = RADIUS, tile: in
     crowds = work.write("crowds", spread.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = spread.join(crowds, ["k", "key"]).withColumn("tiles", F.expr(f"cast(ceil(n / {tile}) as int)")).withColumn("t", F.expr("cast(pmod(xxhash64(fp), tiles) as int)"))
     dealt = met.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).selectExpr("k", "key", "least(t, other) i", "greatest(t, other) j", "t", "fp", "v")
-    return dealt.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j").mapInArrow(_tiled, "a long, b long")
+    # by v within a run, so that shards of the same fingerprints find the same links, of which one of each stays
+    found = dealt.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j", "v").mapInArrow(_tiled, "a long, b long")
+    return found.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
 
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
