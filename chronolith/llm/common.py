@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.session import importable
+from chronolith.workspace import Workspace, sized
+
+
+__all__ = ["Workspace", "held_out", "held_out_py", "labelled_texts", "sized", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,49 +28,6 @@ def held_out_py(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-class Workspace:
-    """A folder of written tables under spark.checkpoint.dir, which every executor shares.
-
-    Lineage is cut by writing a table and reading it back, so a lost executor only costs the stage at hand.
-    Only where the setting is absent (local tests) is a folder of the machine taken instead.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or _fallback()
-        self.spark, self.path = spark, f"{base.rstrip('/')}/chronolith/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def at(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.at(name))
-        return self.spark.read.schema(df.schema).parquet(self.at(name))
-
-    def drop(self, name: str | None = None) -> None:
-        """Deletes one table of the folder, or the folder; nothing happens once the session has ended."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session is gone, and its folder with it
-            pass
-
-
-_LOCAL: list[str] = []
-
-
-def _fallback() -> str:
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="chronolith-"))
-    return _LOCAL[0]
-
-
-def sized(df: DataFrame) -> bool:
-    """Whether a DataFrame has any row."""
-    return bool(df.take(1))
-
-
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int, chars: int) -> list[tuple[str, int]]:
     """(text, label) of rows that are not held out, for fitting: a bounded sample whose bounds are parameters.
 
