@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over labelled text. A document is cut greedily into the longest phrases
-that occur in that text; the language whose automaton needs the fewest phrases per character wins. Automata are dense
+that occur in that text; the language whose automaton needs the fewest phrases, per character and relative to what
+other labelled text of that language needs, wins. Automata are dense
 tables (state by letter), and a batch's texts advance through all languages in step, one array operation a position.
 
 Texts are read as lower-case letters with anything else as one space; whole texts are parsed, in segments of SEGMENT
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import held_out, table
 
-DOCS, CHARS, LANGUAGES = 160, 160, 64
+DOCS, CHARS, LANGUAGES = 240, 160, 64
 SEGMENT = 1024
 #: Characters that advance at once, over all languages: bounds a worker's memory.
 AT_ONCE = 4_000_000
 #: How sharply the score follows the lead in phrases.
-SHARPNESS = 24.0
+SHARPNESS = 6.0
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_phrases long"
 
@@ -86,6 +87,9 @@ class Parser:
         for lang, text in sample:
             by.setdefault(lang, []).append(plain(text))
         self.langs = sorted(by)
+        # every fourth passage stays out of the automata: it shows how many phrases its own language usually needs
+        apart = {lang: texts[::4] if len(texts) >= 12 else [] for lang, texts in by.items()}
+        by = {lang: [t for i, t in enumerate(texts) if i % 4 or not apart[lang]] for lang, texts in by.items()}
         letters = sorted({c for texts in by.values() for t in texts for c in t} | {" "})
         self.width = len(letters) + 1
         self.code = np.zeros(0x110000, np.uint16)  # 0: letters of no language
@@ -100,6 +104,11 @@ class Parser:
             base += len(t)
         self.roots = np.array([0, *np.cumsum([len(t) for t in tables])[:-1]], np.int32) if tables else np.zeros(0, np.int32)
         self.step = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        self.usual = np.ones(len(self.langs))
+        for j, lang in enumerate(self.langs):
+            if apart[lang]:
+                counts, sizes = self.phrases(apart[lang])
+                self.usual[j] = counts[:, j].sum() / sizes.sum()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrase counts (text by language) and the characters of each text."""
@@ -119,7 +128,7 @@ class Parser:
             codes[: len(text), j] = self.code[np.frombuffer(text.encode("utf-32-le"), "<u4")]
         k = len(self.langs)
         roots = np.repeat(self.roots[:, None], len(pieces), axis=1)
-        state, ended = roots.copy(), np.ones((k, len(pieces)), np.int64)  # the last phrase is open
+        state, ended = roots.copy(), np.zeros((k, len(pieces)), np.int64)
         width, alive = self.width, len(pieces)
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # pieces longer than t
         for t, alive in enumerate(active.tolist()):
@@ -127,12 +136,13 @@ class Parser:
             now = state[:, :alive]
             to = self.step[now * width + c]
             if (stop := to < 0).any():
-                at_root = now == roots[:, :alive]
                 again = self.step[roots[:, :alive] * width + c]
-                # a letter that the language lacks is a phrase of its own
-                ended[:, :alive] += stop & ~(at_root & (again < 0)) | (stop & (again < 0))
+                # a letter that the language lacks ends the phrase before it and is one of its own
+                ended[:, :alive] += stop
+                ended[:, :alive] += stop & (again < 0) & (now != roots[:, :alive])
                 to = np.where(stop, np.where(again >= 0, again, roots[:, :alive]), to)
             state[:, :alive] = to
+        ended += state != roots  # the phrase that the end of the text cuts off
         np.add.at(counts, [p[0] for p in pieces], ended.T)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
@@ -141,7 +151,7 @@ class Parser:
         if asked:
             counts, sizes = self.phrases([plain(texts[i]) for i in asked])
             for i, c, n in zip(asked, counts, sizes, strict=True):
-                rate = c / n
+                rate = c / n / self.usual
                 best = int(rate.argmin())
                 weight = np.exp(-SHARPNESS * (rate - rate[best]))
                 out[i] = self.langs[best], float(1 / weight.sum()), int(c[best])
