@@ -224,15 +224,22 @@ def _number(n: int) -> bytes:
     return bytes(out + bytes([n]))
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def make_delta(base: bytes, target: bytes) -> bytes:
     """A delta that copies the common beginning and end of base and inserts what lies between."""
-    head = 0
-    most = min(len(base), len(target))
-    while head < most and base[head] == target[head]:
-        head += 1
-    tail = 0
-    while tail < most - head and base[-1 - tail] == target[-1 - tail]:
-        tail += 1
+    head = _common(base, target)
+    tail = _common(base[head:][::-1], target[head:][::-1])
     out = bytearray(_number(len(base)) + _number(len(target)))
 
     def copy(place: int, size: int) -> None:

@@ -43,7 +43,7 @@ def build_index(commits: DataFrame, tree_entries: DataFrame, refs: DataFrame, re
     own = commits if reached is None else commits.join(reached.select("repo_id", "oid"), ["repo_id", "oid"], "left_semi")
     if sized(own.filter(F.size("parents") > PARENTS_MAX)):
         raise LimitExceeded("parents")
-    named = own.select("repo_id", F.explode("parents").alias("oid")).distinct()
+    named = own.select("repo_id", F.explode("parents").alias("oid"))
     if sized(named.join(commits.select("repo_id", "oid"), ["repo_id", "oid"], "left_anti")):
         raise NotFound("a parent")
     trees = commits.selectExpr("repo_id", "oid _parent", "tree old_tree")
@@ -58,14 +58,18 @@ def build_index(commits: DataFrame, tree_entries: DataFrame, refs: DataFrame, re
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Writes the index, ranges of ids to a file each so that readers can skip by id."""
-    index.repartitionByRange("repo_id", "oid").sortWithinPartitions("repo_id", "oid").write.mode("overwrite").parquet(path)
+    """Writes the index, ranges of ids to a file each so that readers can skip by id.
+
+    Filters are made after the rows are dealt out, so that the sample which finds the ranges does not make them too.
+    """
+    dealt = index.drop("bloom").repartitionByRange("repo_id", "oid").sortWithinPartitions("repo_id", "oid")
+    dealt.withColumn("bloom", bloom_of("changed_paths")).select(index.columns).write.mode("overwrite").parquet(path)
 
 
 def open_index(spark: SparkSession, path: str, refs: DataFrame) -> DataFrame:
     """The rows of repositories whose tips are still those that the index was made for; others must be built again."""
     now = tips_digest(ref_tips(refs)).selectExpr("repo_id", "digest ref_tips_digest")
-    return spark.read.parquet(path).join(F.broadcast(now) if now.count() <= 1_000_000 else now, ["repo_id", "ref_tips_digest"], "left_semi")
+    return spark.read.parquet(path).join(now, ["repo_id", "ref_tips_digest"], "left_semi")
 
 
 def might_contain(asked: DataFrame, index: DataFrame, exact: bool = True) -> DataFrame:

@@ -49,8 +49,8 @@ def event_trees(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = state.select("event_id", "user_id", listed.alias("entries")).withColumn("tree", F.sha1(F.concat(F.lit("tree "), F.col("user_id").cast("string"), F.lit(" "), F.to_json("entries")).cast("binary")))
     commits = event_commits(events).drop("tree").join(state.select("event_id", "tree"), "event_id")
     entries = state.select(F.col("user_id").cast("string").alias("repo_id"), F.col("tree").alias("tree_oid"), F.posexplode("entries").alias("ordinal", "x"))
-    entries = entries.select("repo_id", "tree_oid", "ordinal", F.lit("file").alias("mode"), "x.name", F.sha1(F.concat(F.lit("blob "), F.col("x.e").cast("string")).cast("binary")).alias("oid")).distinct()
-    return commits, entries
+    entries = entries.select("repo_id", "tree_oid", "ordinal", F.lit("file").alias("mode"), "x.name", F.sha1(F.concat(F.lit("blob "), F.col("x.e").cast("string")).cast("binary")).alias("oid"))
+    return commits, entries  # every event makes a tree of its own, so no entry comes twice
 
 
 def page_paths(pages: DataFrame) -> DataFrame:
