@@ -27,7 +27,7 @@ from chronolith.llm.simhash_bk import fingerprint
 
 PER_CLASS, CHARS = 2500, 20_000
 #: Lengths of the word beginnings.
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7)
 #: Lexicon voters, and features of the classifier, at most.
 VOTERS, FEATURES = 400, 4096
 #: The share of an entry's texts that must be toxic, shrunk.
