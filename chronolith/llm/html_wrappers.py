@@ -60,6 +60,8 @@ WORDS_OF_CHROME = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: What may be named as the content where no article or main element is.
+CONTAINERS = frozenset("html body div section center".split())
 TEXT = "#"
 
 
@@ -215,14 +217,17 @@ def content_path(wrapper: Group) -> list[str]:
         return max((x for k in g.kids if k.key != TEXT and (x := find(k, [*path, k.key]))), key=lambda x: x[0], default=None)
 
     def slots(g: Group) -> int:
-        return 0 if g.chrome else g.mass if g.key == TEXT and g.text is None else 0 if g.key == TEXT else sum(map(slots, g.kids))
+        """Characters of the slots; of a single page, of all texts."""
+        if g.chrome or g.key == TEXT:
+            return 0 if g.chrome or g.text is not None and wrapper.seen > 1 else g.mass
+        return sum(map(slots, g.kids))
 
     if named := find(wrapper, []):
         return named[1]
     at, path = wrapper, []
     while True:
         total = slots(at)
-        heavy = [k for k in at.kids if k.key != TEXT and k.key.split(".")[0] not in PROSE and slots(k) > 0.6 * total]
+        heavy = [k for k in at.kids if k.key != TEXT and k.key.split(".")[0] in CONTAINERS and slots(k) > 0.6 * total]
         if not heavy or not total:
             return path
         at = heavy[0]
