@@ -50,7 +50,8 @@ def build_index(commits: DataFrame, tree_entries: DataFrame, refs: DataFrame, re
     steps = work.write("steps", own.selectExpr("repo_id", "oid", "tree new_tree", "get(parents, 0) _parent").filter("_parent is not null").join(trees, ["repo_id", "_parent"]).select("repo_id", "oid", "old_tree", "new_tree"))
     # each pair of trees is compared once, however many commits have it
     changes = diff_trees(tree_entries, steps.select("repo_id", "old_tree", "new_tree"), work)
-    paths = changed_paths(steps.join(changes, ["repo_id", "old_tree", "new_tree"]).select("repo_id", "oid", "path"))
+    by_pair = changed_paths(changes, ("repo_id", "old_tree", "new_tree"))
+    paths = steps.join(by_pair, ["repo_id", "old_tree", "new_tree"]).select("repo_id", "oid", "paths")
     digests = tips_digest(ref_tips(refs)).selectExpr("repo_id", "digest ref_tips_digest")
     out = own.join(paths, ["repo_id", "oid"], "left").join(digests, "repo_id", "left")
     listed = F.coalesce("paths", F.array().cast("array<string>"))

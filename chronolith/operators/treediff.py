@@ -41,24 +41,25 @@ def diff_trees(entries: DataFrame, pairs: DataFrame, work: Workspace | None = No
     """
     work = work or Workspace(entries.sparkSession, "treediff")
     keys = ["repo_id", "old_tree", "new_tree"]
-    front = pairs.select(*keys).distinct().selectExpr(*keys, "'' prefix", "old_tree old_at", "new_tree new_at").filter("not (old_at <=> new_at)")
-    # null trees would not meet in a join
-    for k in ("old_tree", "new_tree"):
-        front = front.withColumn(k, F.coalesce(k, F.lit("")))
+    # a number stands for each pair, so that rows which are shuffled stay short
+    numbered = work.write("pairs", pairs.select(*keys).distinct().filter("not (old_tree <=> new_tree)").withColumn("pair", F.monotonically_increasing_id()))
+    sides = lambda old, new: F.explode(F.array(F.struct(F.lit(True).alias("is_old"), old.alias("at")), F.struct(F.lit(False).alias("is_old"), new.alias("at")))).alias("s")
+    front = numbered.select("pair", "repo_id", F.lit("").alias("prefix"), sides(F.col("old_tree"), F.col("new_tree")))
+    below = entries.select("repo_id", F.col("tree_oid").alias("at"), "name", "mode", "oid")
     out, n = None, 0
-    on = [*keys, "prefix", "name", "is_dir"]
+    of = lambda old, c: F.max(F.when(F.col("is_old") == old, F.col(c)))
     while True:
-        side = {}
-        for s in ("old", "new"):
-            of = entries.select("repo_id", F.col("tree_oid").alias(f"{s}_at"), "name", (F.col("mode") == "directory").alias("is_dir"), F.col("mode").alias(f"{s}_mode"), F.col("oid").alias(f"{s}_oid"))
-            side[s] = front.join(of, ["repo_id", f"{s}_at"]).select(*on, f"{s}_mode", f"{s}_oid")
-        level = side["old"].join(side["new"], on, "full_outer").filter("not (old_mode <=> new_mode and old_oid <=> new_oid)").withColumn("path", F.concat("prefix", "name"))
+        listed = front.select("pair", "repo_id", "prefix", "s.is_old", "s.at").filter("at is not null").join(below, ["repo_id", "at"])
+        met = listed.groupBy("pair", "repo_id", "prefix", "name", (F.col("mode") == "directory").alias("is_dir"))
+        level = met.agg(of(True, "mode").alias("old_mode"), of(True, "oid").alias("old_oid"), of(False, "mode").alias("new_mode"), of(False, "oid").alias("new_oid"))
+        level = level.filter("not (old_mode <=> new_mode and old_oid <=> new_oid)").withColumn("path", F.concat("prefix", "name"))
         level = work.write(f"l{n}", level)
-        leaves = _changes(level.filter("not is_dir"), keys)
+        leaves = _changes(level.filter("not is_dir"), ["pair"])
         out = leaves if out is None else out.union(leaves)
-        front = level.filter("is_dir").selectExpr(*keys, "concat(path, '/') prefix", "old_oid old_at", "new_oid new_at")
-        if not sized(front):
-            return out.withColumn("old_tree", F.expr("nullif(old_tree, '')")).withColumn("new_tree", F.expr("nullif(new_tree, '')"))
+        folders = level.filter("is_dir")
+        if not sized(folders):
+            return out.join(numbered, "pair").select(*keys, "kind", "path", "old_oid", "new_oid")
+        front = folders.select("pair", "repo_id", F.concat("path", F.lit("/")).alias("prefix"), sides(F.col("old_oid"), F.col("new_oid")))
         n += 1
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,7 +44,9 @@ _LOCAL: list[str] = []
 
 def _fallback() -> str:
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="chronolith-"))
+        folder = tempfile.mkdtemp(prefix="chronolith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL.append(f"file://{folder}")
     return _LOCAL[0]
 
 
