@@ -41,6 +41,11 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; the pattern also finds numerals such as fractions."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def plain(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower())
 
@@ -147,7 +152,7 @@ class Parser:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         out: list[tuple[str, float, int]] = [("und", 0.0, 0)] * len(texts)
-        asked = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        asked = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
         if asked:
             counts, sizes = self.phrases([plain(texts[i]) for i in asked])
             for i, c, n in zip(asked, counts, sizes, strict=True):
