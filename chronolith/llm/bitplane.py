@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,12 +40,14 @@ MAGIC = b"BPLN0001"
 BLOCK = 1 << 16
 HEADER = "<IIIQQQ"
 #: Pieces between spaces whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Documents that are tokenised in one call of the library.
 TOGETHER = 1024
 
-#: The combining marks that compose with a letter of A-Z or a-z lie in this range.
-MARKS = re.compile("[\u0300-\u036f]").search
+#: The combining marks that compose with a letter of A-Z or a-z are U+0300 to U+036F.
+MARKS = re.compile(rb"\xcc[\x80-\xbf]|\xcd[\x80-\xaf]").search
+#: The beginning of a piece that may be letters, and what follows.
+APART = re.compile(rb"([A-Za-z\x80-\xff]*)([^\n]*)\n").findall
 
 SHARD = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -177,28 +180,44 @@ class Pieces:
 
     #: Stands between new pieces in one call of the library; a control character that is a token of its own.
     MARK = b"\x01"
-    #: Punctuation that is split off the end of a piece, to be remembered apart.
-    TAIL = b",.!?;:"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        mark = self._ids(self.MARK.decode())
+        mark = self._ids([self.MARK])
         self.mark = int(mark[0]) if len(mark) == 1 else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run of letters
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, pieces: list[bytes], between: bytes = b" ") -> np.ndarray:
+        """Ids of all pieces, one after the other. Short strings are cheaper for the library than a long one."""
+        texts = [between.join(pieces[a : a + 64]).decode() for a in range(0, len(pieces), 64)]
+        ids: list[int] = []
+        for n, got in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            if n and between != b" ":
+                ids.append(self.mark)
+            ids += got.ids
+        return np.array(ids, "<u4")
 
     def _learn(self, pieces: set[bytes]) -> None:
-        known = self.known
-        cut = {p: (core, p[len(core) :]) for p in pieces if (core := p.rstrip(self.TAIL)) and core.decode().isalpha()}
-        letters = [c for c in {core for core, _ in cut.values()} if c not in known]
-        ids = self._ids(b" ".join(letters).decode())
+        known, new, rest = self.known, [], []
+        cores = {}
+        # a run of what are letters after normalisation is split from what follows, so both parts are learnt apart
+        for piece, (core, tail) in zip(pieces, APART(b"\n".join(pieces) + b"\n"), strict=True):
+            if core and (core.isascii() or unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
+                if core not in known:
+                    cores[core] = None
+                if tail:
+                    new.append((piece, core, tail))
+                    if tail not in known:
+                        rest.append(tail)
+            else:
+                rest.append(piece)
+        letters = list(cores)
+        ids = self._ids(letters)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(letters):  # a run of letters ends with one such token
             raw, at = ids.tobytes(), 0
@@ -207,15 +226,14 @@ class Pieces:
                 at = stop
         else:
             self._marked(letters)
-        self._marked([p for p in {*(pieces - cut.keys()), *(tail for _, tail in cut.values() if tail)} if p not in known])
-        for piece, (core, tail) in cut.items():
-            if tail:
-                known[piece] = known[core] + known[tail]
+        self._marked(list(dict.fromkeys(rest)))
+        for piece, core, tail in new:
+            known[piece] = known[core] + known[tail]
 
     def _marked(self, pieces: list[bytes]) -> None:
         """Learns any pieces: one call for those without the mark, one each for the others."""
         plain = [p for p in pieces if self.mark is not None and self.MARK not in p]
-        ids = self._ids((b" %s " % self.MARK).join(plain).decode())
+        ids = self._ids(plain, b" %s " % self.MARK)
         raw, at = ids.tobytes(), 0
         stops = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(raw)] if plain else []
         for piece, stop in zip(plain, stops, strict=True):
@@ -223,16 +241,15 @@ class Pieces:
             at = stop + 4
         for piece in pieces:
             if piece not in self.known:
-                self.known[piece] = self._ids(piece.decode()).tobytes()
+                self.known[piece] = self._ids([piece]).tobytes()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text, four bytes each."""
         known, cut, new = self.known, [], set()
         if len(known) > REMEMBERED:
             known.clear()
-        for text in texts:
-            raw = text.encode()
-            cut.append((raw if "<|" in text or not text.isascii() and MARKS(text) else raw.lower()).split())
+        for raw in texts:
+            cut.append((raw if b"<|" in raw or not raw.isascii() and MARKS(raw) else raw.lower()).split())
             new.update(cut[-1])
         if new := {p for p in new if p not in known}:
             self._learn(new)
@@ -267,7 +284,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 writer = ShardWriter(stream, end_id, block, bits)
             for at in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(at, TOGETHER)
-                for doc_id, ids in zip(some.column(0).to_pylist(), own.encode_all([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), own.encode_all([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                     writer.add(doc_id, ids)
         if writer is not None:
             n_docs, n_ids, n_bytes = writer.close()

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -18,10 +18,11 @@ LIB = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
+@example("İ: \u0958. e\u0301, K")
 @given(st.text(max_size=60) | st.text(alphabet="aAhHeE .,!?'sÉé̱́\n\x1c <|endoftext|>ΣςİI1", max_size=40))
 def test_as_the_library(text):
     own = bitplane.pieces_of(PATH)
-    assert np.frombuffer(own.encode_all([text])[0], "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode_all([text.encode()])[0], "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("bits", [False, True])
