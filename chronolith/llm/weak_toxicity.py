@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import held_out, labelled_texts, table
 from chronolith.llm.simhash_bk import fingerprint
 
-PER_CLASS, CHARS = 2500, 20_000
+PER_CLASS, CHARS = 2000, 12_000
 #: Lengths of the word beginnings.
 STARTS = (4, 5, 6, 7)
 #: Lexicon voters, and features of the classifier, at most.
@@ -57,6 +57,16 @@ def entries_of(text: str) -> set[str]:
     return {e for token in set(text.lower().split()) for e in entries(token)}
 
 
+def shared_entries(texts: list[str]) -> list[set[str]]:
+    """The entries of each text that more than two texts have; rarer ones can be tied to nothing, and they are most."""
+    often = Counter()
+    for text in texts:
+        often.update(entries_of(text))
+    same = {e: e for e, n in often.items() if n > 2}
+    del often
+    return [{same[e] for e in entries_of(text) if e in same} for text in texts]
+
+
 def tied(held: list[set[str]], mass: np.ndarray) -> list[str]:
     """Entries tied to the toxic class, the most frequent first; mass: each text's share in the class.
 
@@ -167,7 +177,7 @@ def fit(sample: list[tuple[str, int]]) -> tuple[dict[str, float], float] | None:
     texts, y = [t for t, _ in sample], np.array([label for _, label in sample])
     if len(set(y.tolist())) < 2:
         return None
-    held = [entries_of(t) for t in texts]
+    held = shared_entries(texts)
     lexicon = tied(held, y)[:VOTERS]
     fired = votes(texts, held, lexicon)
     start = np.where(fired[:, : len(lexicon)].any(axis=1), 0.9, 0.05)
