@@ -5,13 +5,14 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolith.session import importable
 from chronolith.workspace import Workspace, sized
 
 
-__all__ = ["Workspace", "held_out", "held_out_py", "labelled_texts", "sized", "table"]
+__all__ = ["Workspace", "first_of_each", "held_out", "held_out_py", "labelled_texts", "sized", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,21 @@ def held_out_py(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+#: Parts that a key is cut into before its first rows meet.
+PARTS = 64
+
+
+def first_of_each(rows: DataFrame, key: str, order: list[str], k: int, parts: int = PARTS) -> DataFrame:
+    """The first k rows of each key, with their rank r from 1; order begins with a hash column.
+
+    Each key is cut into parts by the hash and the first k of every part are taken before those meet, so that at most
+    parts * k rows of a key reach one task, however many tasks have read it.
+    """
+    part = F.pmod(F.xxhash64(order[0]), F.lit(parts))
+    some = rows.withColumn("_part", part).withColumn("r", F.row_number().over(W.partitionBy(key, "_part").orderBy(*order))).filter(F.col("r") <= k)
+    return some.drop("_part", "r").withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("r") <= k)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int, chars: int) -> list[tuple[str, int]]:
     """(text, label) of rows that are not held out, for fitting: a bounded sample whose bounds are parameters.
 

@@ -23,10 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import held_out, table
+from chronolith.llm.common import first_of_each, held_out, table
 
 DOCS, CHARS, LANGUAGES = 240, 160, 64
 SEGMENT = 1024
@@ -171,9 +170,8 @@ def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHA
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != ""))
     names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     place = F.expr(f"1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {chars} + 1))")
-    # the row's rank is taken over (lang, hash) alone; Spark keeps the first rows of each language before it shuffles
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", F.substring(F.col("text"), place, F.lit(chars)).alias("passage"))
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= docs_per_lang)
+    first = first_of_each(rows, "lang", ["h", "doc_id"], docs_per_lang)
     got = first.join(names, "lang", "left_semi").select("lang", "passage", "r").collect()
     return [(r.lang, r.passage) for r in sorted(got, key=lambda r: (r.lang, r.r))]
 

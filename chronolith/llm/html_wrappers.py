@@ -27,10 +27,9 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import Workspace, table
+from chronolith.llm.common import Workspace, first_of_each, table
 
 PAGES, CHARS = 8, 100_000
 SURE = 3
@@ -299,7 +298,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(found)]})
 
     some = pages.select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("h")).filter((F.col("html") != "") & (F.length("html") <= CHARS))
-    first = some.withColumn("r", F.row_number().over(W.partitionBy("host").orderBy("h"))).filter(F.col("r") <= PAGES)
+    first = first_of_each(some, "host", ["h"], PAGES)
     return first.groupBy("host").applyInArrow(each, "host string, wrapper string")
 
 
