@@ -144,7 +144,9 @@ def embedding_links(frame: DataFrame, work: Workspace | None = None, tile: int =
     else:
         named = named.selectExpr("label", "embedding", "n_links", "v component_id")
     named = work.write("named", named)
-    # vectors meet their class by a 128-bit hash and then by themselves, which keeps the shuffled key short
+    for done in ("classes", "sizes", "found", "links", "components-edges"):
+        work.drop(done)
+    # vectors meet their class by a hash first, then by themselves
     key = [F.xxhash64("label", "embedding").alias("h")]
     out = rows.filter("fine").select("vec_id", "label", "embedding", *key).join(named.select("*", *key), ["h", "label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not fine").selectExpr("vec_id", "0L n_links", "vec_id component_id")

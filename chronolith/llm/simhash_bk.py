@@ -226,6 +226,8 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     if links is not None and sized(links):
         found = connected_components(links, work)
         named = work.write("named", vertices.join(found, "v", "left").selectExpr("fp", "coalesce(component, v) component_id"))
+        for done in ("vertices", "crowds", "links", "components-edges"):
+            work.drop(done)
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
