@@ -122,6 +122,17 @@ def test_blame(frames, made):
     assert [r.line for r in frames.blame("data.txt").orderBy("line_no").collect()] == (made.path / "data.txt").read_text().splitlines()
 
 
+def test_blob_diff(frames, made, spark):
+    old, new = (made.git("rev-parse", f"{c}:data.txt").strip() for c in ("HEAD~3", "HEAD"))
+    repo = str(made.path)
+    tree = made.git("rev-parse", "HEAD^{tree}").strip()
+    pairs = spark.createDataFrame([(repo, old, new), (repo, tree, new)], "repo_id string, old_oid string, new_oid string")
+    got = frames.diff_blobs(pairs).collect()
+    assert [r.new_oid for r in got] == [new]
+    changed = [(o.op, o.a_idx, o.b_idx) for o in got[0].ops if o.op != "equal"]
+    assert changed == [("delete", 14, None), ("insert", None, 14), ("insert", None, 20)]
+
+
 def test_refs(frames, made):
     want = {tuple(line.split(" ")) for line in made.git("for-each-ref", "--format=%(refname) %(objectname)").splitlines()} | {("HEAD", made.git("rev-parse", "HEAD").strip())}
     assert {(r.name, r.oid) for r in refs.resolve_refs(frames.refs).collect()} == want
