@@ -11,7 +11,7 @@ in it, along the wrapper of the page itself.
 
 Wrappers are inferred from at most PAGES pages a host, those with the least hashes (pages beyond CHARS characters are
 left out of inference, not of extraction). Every page is extracted, whole. Wrappers go to the pages by broadcast while
-they take at most BROADCAST_BYTES together, by a shuffled join beyond that.
+they take at most BROADCAST_BYTES together, by a shuffled join beyond that; likewise the hashes of the chosen pages.
 
 Null and empty pages have an empty text; pages with a null or odd url form one host. Repeated rows each get a row. Text
 outside any tag counts as a block. Extra columns are ignored.
@@ -34,6 +34,7 @@ from chronolith.llm.common import Workspace, first_of_each, table
 PAGES, CHARS = 8, 100_000
 SURE = 3
 BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 200_000
 
 OUT = "page_id long, url string, text string, n_chars long"
 
@@ -290,23 +291,27 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one inferred wrapper per host, as JSON. At most PAGES pages of a host meet in one task."""
+def wrappers(pages: DataFrame, work: Workspace) -> DataFrame:
+    """(host, wrapper): one inferred wrapper per host, as JSON. At most PAGES pages of a host meet in one task.
+
+    The pages are chosen by their hashes alone, and only the chosen ones move.
+    """
 
     def each(key: tuple, rows: pa.Table) -> pa.Table:
         found = infer(rows.sort_by("r").column("html").to_pylist())
         return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(found)]})
 
     some = pages.select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("h")).filter((F.col("html") != "") & (F.length("html") <= CHARS))
-    first = first_of_each(some, "host", ["h"], PAGES)
-    return first.groupBy("host").applyInArrow(each, "host string, wrapper string")
+    chosen = work.write("chosen", first_of_each(some.select("host", "h").distinct(), "host", ["h"], PAGES).select("host", "h", "r"))
+    met = some.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["host", "h"])
+    return met.dropDuplicates(["host", "h"]).groupBy("host").applyInArrow(each, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame, work: Workspace | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     work = work or Workspace(pages.sparkSession, "wrappers")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    inferred = work.write("wrappers", wrappers(pages))
+    inferred = work.write("wrappers", wrappers(pages, work))
     total = inferred.select(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     joined_ = pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(inferred) if total <= BROADCAST_BYTES else inferred, "host", "left").drop("host")
 
