@@ -2,7 +2,7 @@
 
 Base spans come from three patterns: assignments with a value of 12 or more characters, access identifiers of 18 or
 more, hexadecimal runs of 16 or more. To these the linker adds weak candidates (login names, high-entropy tokens,
-endpoints), which alone mean nothing: within a scope (the candidate's interval widened by WINDOW characters and
+endpoints; of any length from their least on), which alone mean nothing: within a scope (the candidate's interval widened by WINDOW characters and
 clipped at blank lines) the intervals of the three roles identifier, secret and endpoint are joined, and a weak
 candidate is reported only when a strong part of another role, or parts of both other roles, overlap its scope.
 
@@ -34,8 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs, so that the shorter ones may be skipped while matching
 KINDS = ("assign", "access", "hex", "login", "opaque", "endpoint")
 
-LOGIN = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account|client_?id|access_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.IGNORECASE | re.ASCII)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
+LOGIN = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account|client_?id|access_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
 ENDPOINT = re.compile(r"""(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{3,}|\b(?:host(?:name)?|endpoint|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?""", re.IGNORECASE | re.ASCII)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
