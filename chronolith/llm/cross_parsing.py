@@ -8,8 +8,9 @@ tables (state by letter), and a batch's texts advance through all languages in s
 Texts are read as lower-case letters with anything else as one space; whole texts are parsed, in segments of SEGMENT
 characters whose phrase counts add up. The labelled text is a bounded sample, stated by its parameters: per language
 the rows of the DOCS lowest hashes of (doc_id, text), from each a passage of CHARS characters at a place given by the
-hash, for the LANGUAGES most frequent labels. The sample goes to the workers as text (at most LANGUAGES * DOCS * CHARS
-characters), and each worker builds the automata once.
+hash; every label that is not null is learned. The sample goes to the workers as text (at most DOCS * CHARS characters
+a language). Each worker builds the automata once; of more than TOGETHER languages it holds the automata of TOGETHER at
+a time, and goes over each stretch of texts (MANY_AT_ONCE characters) once for every such part.
 
 Null texts and texts without any letter get `und` and score 0. With no labelled rows every text gets `und`. Ties go
 to the first language by name. Each input row gives one output row; extra columns are ignored.
@@ -18,7 +19,7 @@ to the first language by name. Each input row gives one output row; extra column
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import first_of_each, held_out, table
 
-DOCS, CHARS, LANGUAGES = 240, 160, 64
+DOCS, CHARS = 240, 160
+#: Languages whose automata a worker holds at once.
+TOGETHER = 64
 SEGMENT = 1024
 #: Characters that advance at once, over all languages: bounds a worker's memory.
 AT_ONCE = 4_000_000
+#: The same where automata must be built again for each stretch of texts.
+MANY_AT_ONCE = 4 * AT_ONCE
 #: How sharply the score follows the lead in phrases.
 SHARPNESS = 6.0
 
@@ -150,29 +155,56 @@ class Parser:
         np.add.at(counts, [p[0] for p in pieces], ended.T)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
-        out: list[tuple[str, float, int]] = [("und", 0.0, 0)] * len(texts)
-        asked = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
-        if asked:
-            counts, sizes = self.phrases([plain(texts[i]) for i in asked])
-            for i, c, n in zip(asked, counts, sizes, strict=True):
-                rate = c / n / self.usual
-                best = int(rate.argmin())
-                weight = np.exp(-SHARPNESS * (rate - rate[best]))
-                out[i] = self.langs[best], float(1 / weight.sum()), int(c[best])
+        return predicted([self], texts)
+
+
+class Parts:
+    """The parsers of all languages, TOGETHER languages each, by name. One part is kept, of several one at a time is built."""
+
+    def __init__(self, sample: list[tuple[str, str]]):
+        by: dict[str, list[tuple[str, str]]] = {}
+        for row in sample:
+            by.setdefault(row[0], []).append(row)
+        langs = sorted(by)
+        self.samples = [[row for lang in langs[a : a + TOGETHER] for row in by[lang]] for a in range(0, len(langs), TOGETHER)]
+        self.only = Parser(sample) if len(self.samples) < 2 else None
+        self.at_once = AT_ONCE if self.only else MANY_AT_ONCE
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        return self.only.predict(texts) if self.only else predicted((Parser(s) for s in self.samples), texts)
+
+
+def predicted(parsers: Iterable[Parser], texts: list[str | None]) -> list[tuple[str, float, int]]:
+    """(language, score, phrases) of each text, over the languages of all parsers, which come in the order of their names."""
+    out: list[tuple[str, float, int]] = [("und", 0.0, 0)] * len(texts)
+    asked = [i for i, t in enumerate(texts) if t and has_letter(t)]
+    if not asked:
         return out
+    read, langs, counts, rates = [plain(texts[i]) for i in asked], [], [], []
+    for parser in parsers:
+        if parser.langs:
+            c, sizes = parser.phrases(read)
+            langs += parser.langs
+            counts.append(c)
+            rates.append(c / sizes[:, None] / parser.usual)
+    if langs:
+        for i, c, rate in zip(asked, np.hstack(counts), np.hstack(rates), strict=True):
+            best = int(rate.argmin())
+            weight = np.exp(-SHARPNESS * (rate - rate[best]))
+            out[i] = langs[best], float(1 / weight.sum()), int(c[best])
+    return out
 
 
-_PARSERS: dict[str, Parser] = {}
+_PARSERS: dict[str, Parts] = {}
 
 
-def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHARS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """(lang, passage) of rows that are not held out; at most languages * docs_per_lang rows reach the driver."""
+def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHARS) -> list[tuple[str, str]]:
+    """(lang, passage) of rows that are not held out; at most docs_per_lang rows of each language reach the driver."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != ""))
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     place = F.expr(f"1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {chars} + 1))")
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", F.substring(F.col("text"), place, F.lit(chars)).alias("passage"))
     first = first_of_each(rows, "lang", ["h", "doc_id"], docs_per_lang)
-    got = first.join(names, "lang", "left_semi").select("lang", "passage", "r").collect()
+    got = first.select("lang", "passage", "r").collect()
     return [(r.lang, r.passage) for r in sorted(got, key=lambda r: (r.lang, r.r))]
 
 
@@ -187,7 +219,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | N
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _PARSERS:
             _PARSERS.clear()
-            _PARSERS[key] = Parser(shared.value)
+            _PARSERS[key] = Parts(shared.value)
         parser = _PARSERS[key]
         for batch in batches:
             texts, found, taken = batch.column(0), [], []
@@ -195,7 +227,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | N
             for i in range(len(texts)):
                 taken.append(t := texts[i].as_py())
                 size += len(t or "")
-                if size > AT_ONCE:
+                if size > parser.at_once:
                     found += parser.predict(taken)
                     taken, size = [], 0
             found += parser.predict(taken)

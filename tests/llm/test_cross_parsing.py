@@ -61,3 +61,17 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
 
     spoiled = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
     assert c.labelled_sample(docs) == c.labelled_sample(spoiled)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rng.randint(3, 7)))
+    stock = {f"l{i:02}": [word() for _ in range(12)] for i in range(70)}
+    rows = [(n * 70 + i, " ".join(rng.choices(words, k=25)), lang) for n in range(9) for i, (lang, words) in enumerate(stock.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = c.labelled_sample(docs)
+    assert {lang for lang, _ in sample} == set(stock)
+    got = {r.doc_id: (r.lang_pred, r.score, r.n_phrases) for r in c.identify(docs, sample).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows)
+    whole = c.Parser(sample).predict([text for _, text, _ in rows])
+    assert [got[i] for i, _, _ in rows] == whole
