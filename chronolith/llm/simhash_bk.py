@@ -194,15 +194,16 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit integer. row: a long column of docs that goes along."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(each, "doc_id long, fp long")
+    along = [f"`{row}`"] if row else []
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *along).mapInArrow(each, ", ".join(["doc_id long, fp long", *[f"{c} long" for c in along]]))
 
 
 def links_within(fps: DataFrame, work: Workspace, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -216,11 +217,16 @@ def links_within(fps: DataFrame, work: Workspace, radius: int = RADIUS, tile: in
     return found.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
 
-def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+def near_duplicates(docs: DataFrame, work: Workspace | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
+
+    row: a long column of docs that tells all rows apart; it goes along and stands for doc_id in component_id, so that
+    rows with a null doc_id are linked like others.
+    """
     work = work or Workspace(docs.sparkSession, "simhash")
-    prints = work.write("prints", fingerprints(docs))
-    vertices = work.write("vertices", prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v")))
+    own = row or "doc_id"
+    prints = work.write("prints", fingerprints(docs, row))
+    vertices = work.write("vertices", prints.filter(F.col(own).isNotNull()).groupBy("fp").agg(F.min(own).alias("v")))
     named = vertices.selectExpr("fp", "v component_id")
     links = work.write("links", links_within(vertices, work)) if sized(vertices) else None
     if links is not None and sized(links):
@@ -228,7 +234,7 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
         named = work.write("named", vertices.join(found, "v", "left").selectExpr("fp", "coalesce(component, v) component_id"))
         for done in ("vertices", "crowds", "links", "components-edges"):
             work.drop(done)
-    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", *([row] if row else []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:

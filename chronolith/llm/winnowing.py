@@ -85,8 +85,11 @@ def item_prints(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return long, short.select(F.size("w").alias("m"), hashed.alias("h"), "item", F.col("w").alias("gram"))
 
 
-def contaminated_words(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and row, its place in docs)."""
+def contaminated_words(docs: DataFrame, items: DataFrame, work: Workspace | None = None, row: str | None = None) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and row, its place in docs).
+
+    row: a long column of docs that tells all rows apart and is given back as row.
+    """
     spark, side = docs.sparkSession, WINDOW - K
     work = work or Workspace(spark, "winnow")
     long, short = (work.write(n, d) for n, d in zip(("long", "short"), item_prints(items), strict=True))
@@ -94,7 +97,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, work: Workspace | None
     item_side = long.selectExpr(f"{WINDOW} m", "h", "item", "before", "gram", "after").union(short.selectExpr("m", "h", "item", "cast(array() as array<string>)", "gram", "cast(array() as array<string>)"))
     small = item_side.count() <= BROADCAST_ROWS
 
-    read = long_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")), "text", "doc_id", "row")
+    read = long_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row")), "text", "doc_id", "row")
     every = F.transform("prints", lambda p: F.struct(F.lit(WINDOW).alias("m"), p["pos"].alias("pos"), p["h"].alias("h")))
     for n in lengths:
         read = read.withColumn(f"h{n}", gram_hashes("w", n))

@@ -58,3 +58,22 @@ def test_secrets_are_masked(spark):
     docs = spark.createDataFrame([(1, "x password=0123456789abcdef y", "en", "s", 30), (2, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.secret_scan(spark, docs, SF).collect()}
     assert got == {1: ("x [assign] y", 12), 2: ("clean", 5)}
+
+
+def test_decisions_are_by_row(spark):
+    import random
+
+    from tests.llm.conftest import words
+
+    rng = random.Random(6)
+    a, b, c, d, e, f = (words(rng, 80) for _ in range(6))
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(brute_windows(r.text)[0]) >= 10)
+    schema = "doc_id long, text string, row string"
+    left = lambda stage, rows: sorted(map(tuple, stage(spark, spark.createDataFrame(rows, schema), SF).select("doc_id", "text").collect()), key=repr)
+    dedup = corpus_pipeline.simhash_near_dedup
+    assert left(dedup, [(3, a, "x"), (5, a, "x"), (5, b, "x")]) == sorted([(3, a), (5, b)], key=repr)
+    assert left(dedup, [(None, a, "x"), (None, a, "x"), (None, b, "x"), (7, b, "x")]) == sorted([(None, a), (7, b)], key=repr)
+    # 4 is the first of two groups, and the other group keeps its next row; 6 has two texts and no other row
+    assert left(dedup, [(4, c, "x"), (4, d, "x"), (9, d, "x"), (6, e, "x"), (6, f, "x")]) in (sorted([(4, c), (9, d), (6, e)], key=repr), sorted([(4, c), (9, d), (6, f)], key=repr))
+    clean = corpus_pipeline.benchmark_decontamination
+    assert left(clean, [(None, leak, "x"), (None, a, "x"), (8, leak, "x"), (8, b, "x")]) == sorted([(None, a), (8, b)], key=repr)
