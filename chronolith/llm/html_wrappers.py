@@ -9,9 +9,11 @@ it, texts other than paragraphs and headings that never differ over at least SUR
 host's own words and are left out. A page is then read along its host's wrapper; where the named content does not occur
 in it, along the wrapper of the page itself.
 
-Wrappers are inferred from at most PAGES pages a host, those with the least hashes (pages beyond CHARS characters are
-left out of inference, not of extraction). Every page is extracted, whole. Wrappers go to the pages by broadcast while
-they take at most BROADCAST_BYTES together, by a shuffled join beyond that; likewise the hashes of the chosen pages.
+All pages of a host make its wrapper: each task folds the pages that it reads into a partial wrapper a host, and the
+partial ones are joined within PARTS salted parts of a host, then those. An element with more than MANY parts loses
+their order (one group for each tag and class, or for each tag beyond MANY of those), so that wrappers stay small; equal
+pages count once. How pages are aligned may depend on which of them are folded first. Every page is extracted, whole.
+Wrappers go to the pages by broadcast while they take at most BROADCAST_BYTES together, by a shuffled join beyond that.
 
 Null and empty pages have an empty text; pages with a null or odd url form one host. Repeated rows each get a row. Text
 outside any tag counts as a block. Extra columns are ignored.
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import html
 import json
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import Workspace, first_of_each, table
+from chronolith.llm.common import PARTS, Workspace, table
 
-PAGES, CHARS = 8, 100_000
 SURE = 3
 BROADCAST_BYTES = 32 << 20
-BROADCAST_ROWS = 200_000
+#: Parts of an element that are kept in their order.
+MANY = 256
+#: Characters of first pages of hosts after which a task hands on its partial wrappers.
+HELD = 16 << 20
 
 OUT = "page_id long, url string, text string, n_chars long"
 
@@ -139,28 +145,50 @@ def parse(page: str) -> Node:
 class Group:
     """Part of a wrapper: an element, or a text (key TEXT); optional, repeated, or both."""
 
-    __slots__ = ("chrome", "key", "kids", "main", "mass", "optional", "repeated", "seen", "text")
+    __slots__ = ("chrome", "key", "kids", "loose", "main", "mass", "optional", "repeated", "seen", "text")
 
     def __init__(self, key: str, chrome: bool = False, main: bool = False):
         self.key, self.chrome, self.main, self.kids = key, chrome, main, []
         self.optional = self.repeated = False
         self.text: str | None = None  # of texts: what all pages have; None is a slot
-        self.mass, self.seen = 0, 1
+        self.mass, self.loose = 0, False  # loose: the kids have no order
+        self.seen: frozenset[int] = frozenset()  # marks of up to SURE different pages
 
     def __str__(self) -> str:
         inner = ("#PCDATA" if self.text is None else self.text) if self.key == TEXT else f"<{self.key}>{''.join(map(str, self.kids))}</>"
         return f"({inner})+?" if self.optional and self.repeated else f"({inner})+" if self.repeated else f"({inner})?" if self.optional else inner
 
 
-def fold(node: Node | str) -> Group:
-    """The wrapper of one page, adjacent equal structures being one repeated group."""
+def any_class(key: str) -> str:
+    return key if key == TEXT else key.split(".")[0] + ".*"
+
+
+def loosened(kids: list[Group], same_page: bool) -> list[Group]:
+    """One repeated, optional group for each key, or for each tag where there are over MANY keys."""
+    out: dict[str, Group] = {}
+    for wide in (False, True):
+        for k in kids:
+            key = any_class(k.key) if wide or any_class(k.key) in out else k.key
+            if key in out:
+                k = joined(out[key], k, same_page)
+            k.key, k.optional, k.repeated = key, True, True
+            out[key] = k
+        if len(out) <= MANY:
+            break
+        kids, out = list(out.values()), {}
+    return list(out.values())
+
+
+def fold(node: Node | str, mark: int = 0) -> Group:
+    """The wrapper of one page, adjacent equal structures being one repeated group. mark tells the page from others."""
     if isinstance(node, str):
         leaf = Group(TEXT)
-        leaf.text, leaf.mass = node, len(node)
+        leaf.text, leaf.mass, leaf.seen = node, len(node), frozenset((mark,))
         return leaf
     out = Group(node.key, node.chrome, node.main)
+    out.seen = frozenset((mark,))
     for kid in node.children:
-        part = fold(kid)
+        part = fold(kid, mark)
         if out.kids and out.kids[-1].key == part.key:
             out.kids[-1] = joined(out.kids[-1], part, same_page=True)
             out.kids[-1].repeated = True
@@ -172,6 +200,8 @@ def fold(node: Node | str) -> Group:
             for k in pair:
                 k.repeated = True
             out.kids[-4:] = pair
+    if len(out.kids) > MANY:
+        out.kids, out.loose = loosened(out.kids, True), True
     out.mass = sum(k.mass for k in out.kids)
     return out
 
@@ -180,11 +210,14 @@ def joined(a: Group, b: Group, same_page: bool = False) -> Group:
     """The least wrapper that both match: mismatches become optional or repeated groups and slots."""
     out = Group(a.key, a.chrome and b.chrome, a.main or b.main)
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
-    out.seen = max(a.seen, b.seen) if same_page else a.seen + b.seen
+    out.seen = a.seen if a.seen >= b.seen else frozenset(sorted(a.seen | b.seen)[:SURE])
     out.mass = a.mass + b.mass
     if a.key == TEXT:
         out.text = a.text if a.text == b.text else None
         return out
+    if a.loose or b.loose:
+        out.kids, out.loose = loosened([*a.kids, *b.kids], same_page), True
+        return out
     n, m = len(a.kids), len(b.kids)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -203,6 +236,8 @@ def joined(a: Group, b: Group, same_page: bool = False) -> Group:
             kid = joined(out.kids.pop(), kid, same_page=True)
             kid.repeated = True
         out.kids.append(kid)
+    if len(out.kids) > MANY:
+        out.kids, out.loose = loosened(out.kids, same_page), True
     return out
 
 
@@ -219,7 +254,7 @@ def content_path(wrapper: Group) -> list[str]:
     def slots(g: Group) -> int:
         """Characters of the slots; of a single page, of all texts."""
         if g.chrome or g.key == TEXT:
-            return 0 if g.chrome or g.text is not None and wrapper.seen > 1 else g.mass
+            return 0 if g.chrome or g.text is not None and len(wrapper.seen) > 1 else g.mass
         return sum(map(slots, g.kids))
 
     if named := find(wrapper, []):
@@ -236,7 +271,15 @@ def content_path(wrapper: Group) -> list[str]:
 
 def infer(pages: list[str]) -> dict:
     """The wrapper of same-host pages as {wrapper, path, own}: its text form, the content's path, the host's own words there."""
-    wrapper = reduce(joined, [fold(parse(p)) for p in pages])
+    return described(reduce(joined, map(whole, pages)))
+
+
+def whole(page: str) -> Group:
+    """The wrapper of one page."""
+    return fold(parse(page), zlib.crc32(page.encode("utf-8", "surrogatepass")))
+
+
+def described(wrapper: Group) -> dict:
     path, own = content_path(wrapper), []
     at: Group | None = wrapper
     for key in path:
@@ -246,7 +289,7 @@ def infer(pages: list[str]) -> dict:
         for k in g.kids:
             if k.key != TEXT:
                 constants(k)
-            elif k.text is not None and k.seen >= SURE and not k.optional and g.key.split(".")[0] not in PROSE:
+            elif k.text is not None and len(k.seen) >= SURE and not k.optional and g.key.split(".")[0] not in PROSE:
                 own.append([g.key, k.text])
 
     def differs(g: Group) -> bool:
@@ -264,7 +307,7 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     root = parse(page)
 
     def at(node: Node, path: list[str]) -> list[Node]:
-        return [node] if not path else [x for k in node.children if not isinstance(k, str) and k.key == path[0] for x in at(k, path[1:])]
+        return [node] if not path else [x for k in node.children if not isinstance(k, str) and path[0] in (k.key, any_class(k.key)) for x in at(k, path[1:])]
 
     own: set[tuple[str, str]] = set()
     found = at(root, wrapper["path"]) if wrapper and wrapper["path"] else []
@@ -291,27 +334,51 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, work: Workspace) -> DataFrame:
-    """(host, wrapper): one inferred wrapper per host, as JSON. At most PAGES pages of a host meet in one task.
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, expression): one inferred wrapper per host, as JSON, and its text form. Pages stay where they are."""
 
-    The pages are chosen by their hashes alone, and only the chosen ones move.
-    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Group] = {}
+        size = 0
+
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(g) for g in held.values()], pa.binary())], names=["host", "part"])
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                page = page.as_py()
+                if host in held:
+                    held[host] = joined(held[host], whole(page))
+                    continue
+                held[host] = whole(page)
+                size += len(page)
+                if size > HELD:
+                    yield handed()
+                    held.clear()
+                    size = 0
+        yield handed()
+
+    def together(rows: pa.Table) -> Group:
+        return reduce(joined, (pickle.loads(p) for p in sorted(rows.column("part").to_pylist())))
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"host": [key[0].as_py()], "part": pa.array([pickle.dumps(together(rows))], pa.binary())})
 
     def each(key: tuple, rows: pa.Table) -> pa.Table:
-        found = infer(rows.sort_by("r").column("html").to_pylist())
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(found)]})
+        found = described(together(rows))
+        expression = found.pop("wrapper")
+        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(found)], "expression": [expression]})
 
-    some = pages.select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("h")).filter((F.col("html") != "") & (F.length("html") <= CHARS))
-    chosen = work.write("chosen", first_of_each(some.select("host", "h").distinct(), "host", ["h"], PAGES).select("host", "h", "r"))
-    met = some.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["host", "h"])
-    return met.dropDuplicates(["host", "h"]).groupBy("host").applyInArrow(each, "host string, wrapper string")
+    parts = pages.select(host_of(F.col("url")).alias("host"), "html").filter("html <> ''").mapInArrow(partial, "host string, part binary")
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(PARTS))).groupBy("host", "salt").applyInArrow(meet, "host string, part binary")
+    return salted.groupBy("host").applyInArrow(each, "host string, wrapper string, expression string")
 
 
 def main_text(pages: DataFrame, work: Workspace | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     work = work or Workspace(pages.sparkSession, "wrappers")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    inferred = work.write("wrappers", wrappers(pages, work))
+    inferred = work.write("wrappers", wrappers(pages)).select("host", "wrapper")
     total = inferred.select(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     joined_ = pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(inferred) if total <= BROADCAST_BYTES else inferred, "host", "left").drop("host")
 

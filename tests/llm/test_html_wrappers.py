@@ -66,3 +66,17 @@ def test_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(h, "BROADCAST_BYTES", 0)
     frame = spark.createDataFrame([(i, f"https://h{i % 2}.org", page(i, "<p>x</p>")) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in h.main_text(frame).collect()} == {f"Title {i}\nx" for i in range(9)}
+
+
+def test_all_pages_of_a_host_count(spark):
+    side = lambda i: "<div class=more>Read on</div>" if i % 10 == 0 else ""
+    rows = [(i, "https://a.org", f"<body><article><p>words {i}</p>{side(i)}<div class=by>{'by Ann' if i % 12 else f'by Bob {i}'}</div></article></body>") for i in range(120)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.main_text(frame).collect()}
+    assert got == {i: f"words {i}\n" + ("by Ann" if i % 12 else f"by Bob {i}") for i in range(120)}
+
+
+def test_wrappers_stay_small():
+    pages = [f"<body class=p{i}><article class=post-{i}><p>words {i}</p></article></body>" for i in range(600)]
+    found = h.infer(pages)
+    assert found["path"] == ["body.*", "article.*"] and h.extract(pages[599], found) == "words 599"
