@@ -297,7 +297,7 @@ def described(wrapper: Group) -> dict:
 
     if at is not None and differs(at):
         constants(at)
-    return {"wrapper": str(wrapper)[:20_000], "path": path, "own": own}
+    return {"wrapper": str(wrapper), "path": path, "own": own}
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:

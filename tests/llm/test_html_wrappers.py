@@ -76,7 +76,9 @@ def test_all_pages_of_a_host_count(spark):
     assert got == {i: f"words {i}\n" + ("by Ann" if i % 12 else f"by Bob {i}") for i in range(120)}
 
 
-def test_wrappers_stay_small():
+def test_wrappers_stay_small_and_are_whole():
     pages = [f"<body class=p{i}><article class=post-{i}><p>words {i}</p></article></body>" for i in range(600)]
     found = h.infer(pages)
     assert found["path"] == ["body.*", "article.*"] and h.extract(pages[599], found) == "words 599"
+    long = h.infer([f"<article>{''.join(f'<div class=c{i}>{i}</div>' for i in range(200))}<p>{'x ' * 20_000}</p></article>"])
+    assert len(long["wrapper"]) > 40_000 and long["wrapper"].endswith("</></>")
