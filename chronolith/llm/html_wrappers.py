@@ -72,13 +72,13 @@ TEXT = "#"
 
 
 class Node:
-    """An element of a page: its key (tag and class), whether it is chrome, and its children (nodes and texts)."""
+    """An element of a page: its key (tag and class), whether it is chrome (soft: by its class or id alone), and its children."""
 
-    __slots__ = ("chrome", "children", "key", "main", "tag")
+    __slots__ = ("chrome", "children", "key", "main", "soft", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.key, self.children = tag, tag, []
-        self.chrome, self.main = tag in DROPPED, tag in ("article", "main")
+        self.chrome, self.main, self.soft = tag in DROPPED, tag in ("article", "main"), False
         if attributes:
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
@@ -86,7 +86,7 @@ class Node:
                     self.chrome |= value in ROLES
                     self.main |= value in ("main", "article")
                 elif name in ("class", "id"):
-                    self.chrome |= bool(WORDS_OF_CHROME.search(value)) and tag not in ("body", "html")
+                    self.soft |= bool(WORDS_OF_CHROME.search(value)) and tag not in ("body", "html")
                     if name == "class" and value:
                         self.key = f"{tag}.{'.'.join(sorted(value.split()))}"
                 elif name == "style":
@@ -133,6 +133,8 @@ def parse(page: str) -> Node:
             if stack[i].tag in LISTS:
                 break
         node = Node(tag, m[4])
+        if node.main and not any(n.main for n in stack):  # no class makes an outermost article chrome
+            node.soft = False
         stack[-1].children.append(node)
         if not m[4].endswith("/"):
             stack.append(node)
@@ -145,13 +147,13 @@ def parse(page: str) -> Node:
 class Group:
     """Part of a wrapper: an element, or a text (key TEXT); optional, repeated, or both."""
 
-    __slots__ = ("chrome", "key", "kids", "loose", "main", "mass", "optional", "repeated", "seen", "text")
+    __slots__ = ("chrome", "key", "kids", "loose", "main", "mass", "optional", "repeated", "seen", "soft", "text")
 
     def __init__(self, key: str, chrome: bool = False, main: bool = False):
         self.key, self.chrome, self.main, self.kids = key, chrome, main, []
         self.optional = self.repeated = False
         self.text: str | None = None  # of texts: what all pages have; None is a slot
-        self.mass, self.loose = 0, False  # loose: the kids have no order
+        self.mass, self.loose, self.soft = 0, False, False  # loose: the kids have no order
         self.seen: frozenset[int] = frozenset()  # marks of up to SURE different pages
 
     def __str__(self) -> str:
@@ -186,7 +188,7 @@ def fold(node: Node | str, mark: int = 0) -> Group:
         leaf.text, leaf.mass, leaf.seen = node, len(node), frozenset((mark,))
         return leaf
     out = Group(node.key, node.chrome, node.main)
-    out.seen = frozenset((mark,))
+    out.seen, out.soft = frozenset((mark,)), node.soft
     for kid in node.children:
         part = fold(kid, mark)
         if out.kids and out.kids[-1].key == part.key:
@@ -211,7 +213,7 @@ def joined(a: Group, b: Group, same_page: bool = False) -> Group:
     out = Group(a.key, a.chrome and b.chrome, a.main or b.main)
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     out.seen = a.seen if a.seen >= b.seen else frozenset(sorted(a.seen | b.seen)[:SURE])
-    out.mass = a.mass + b.mass
+    out.mass, out.soft = a.mass + b.mass, a.soft and b.soft
     if a.key == TEXT:
         out.text = a.text if a.text == b.text else None
         return out
@@ -242,19 +244,30 @@ def joined(a: Group, b: Group, same_page: bool = False) -> Group:
 
 
 def content_path(wrapper: Group) -> list[str]:
-    """Keys from the root to the content."""
+    """Keys from the root to the content. The class list excludes no element with most of the slots' text."""
+
+    def held(g: Group) -> int:
+        """Characters of the slots, whatever their classes; of a single page, of all texts."""
+        if g.chrome or g.key == TEXT:
+            return 0 if g.chrome or g.text is not None and len(wrapper.seen) > 1 else g.mass
+        return sum(map(held, g.kids))
+
+    most = 0.6 * held(wrapper)
+
+    def chrome(g: Group) -> bool:
+        return g.chrome or g.soft and held(g) <= most
 
     def find(g: Group, path: list[str]) -> tuple[int, list[str]] | None:
-        if g.chrome:
+        if chrome(g):
             return None
         if g.main and g.mass:
             return g.mass, path
         return max((x for k in g.kids if k.key != TEXT and (x := find(k, [*path, k.key]))), key=lambda x: x[0], default=None)
 
     def slots(g: Group) -> int:
-        """Characters of the slots; of a single page, of all texts."""
-        if g.chrome or g.key == TEXT:
-            return 0 if g.chrome or g.text is not None and len(wrapper.seen) > 1 else g.mass
+        """Characters of the slots outside chrome; of a single page, of all texts."""
+        if chrome(g) or g.key == TEXT:
+            return 0 if chrome(g) or g.text is not None and len(wrapper.seen) > 1 else g.mass
         return sum(map(slots, g.kids))
 
     if named := find(wrapper, []):
@@ -322,7 +335,7 @@ def extract(page: str | None, wrapper: dict | None) -> str:
             if isinstance(k, str):
                 if (node.key, k) not in own and (not heading or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
                     out.append(k)
-            elif not k.chrome:
+            elif not k.chrome and not k.soft:
                 read(k, heading or k.tag == "header")
 
     for node in found:

@@ -82,3 +82,10 @@ def test_wrappers_stay_small_and_are_whole():
     assert found["path"] == ["body.*", "article.*"] and h.extract(pages[599], found) == "words 599"
     long = h.infer([f"<article>{''.join(f'<div class=c{i}>{i}</div>' for i in range(200))}<p>{'x ' * 20_000}</p></article>"])
     assert len(long["wrapper"]) > 40_000 and long["wrapper"].endswith("</></>")
+
+
+@pytest.mark.parametrize("open_,close", [("<div class='content has-sidebar'>", "</div>"), ("<article class='post no-sidebar'>", "</article>"), ("<div class='page no-sidebar'><article>", "</article></div>")])
+def test_no_class_drops_the_content(open_, close):
+    pages = [f"<body><nav>menu</nav>{open_}<h1>Title {i}</h1><p>{i} words of the page</p><div class=related>see {i}</div>{close}<div class=sidebar>{i}</div></body>" for i in range(5)]
+    for known in (None, h.infer(pages)):
+        assert [h.extract(p, known) for p in pages] == [f"Title {i}\n{i} words of the page" for i in range(5)]
