@@ -100,7 +100,7 @@ def votes(texts: list[str], held: list[set[str]], lexicon: list[str]) -> np.ndar
         hits = [at[e] for e in own if e in at]
         out[i, hits] = True
         whole = sum(not lexicon[j].endswith("*") for j in hits)
-        letters = WORD.findall(text[:4000])
+        letters = WORD.findall(text)
         out[i, len(lexicon) :] = whole >= 2, not hits, sum(w.isupper() and len(w) > 1 for w in letters) > len(letters) / 2 > 0, "you" in own and bool(hits)
     return out
 

@@ -70,3 +70,9 @@ def test_attention_finds_the_bad_passage():
     sample = [(good * (1 + i % 3), 1) for i in range(60)] + [(good + bad + good if i % 2 else bad, 0) for i in range(60)]
     model = q.fit(sample)
     assert model.score([q.bag(good * 2)])[0] > 0.5 > model.score([q.bag(good + bad + good)])[0]
+
+
+def test_shouting_is_heard_in_the_whole_text():
+    text = "quiet " * 700 + "LOUD " * 1500
+    fired = t.votes([text, text[:4200]], [t.entries_of(text), t.entries_of(text[:4200])], [])
+    assert fired[:, 2].tolist() == [True, False]
