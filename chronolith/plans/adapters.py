@@ -42,14 +42,14 @@ def event_tips(events: DataFrame) -> DataFrame:
 
 def event_trees(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commits with trees, tree_entries): a commit's tree holds each type's latest event so far."""
+    oid = lambda kind, *c: F.sha1(F.concat_ws(" ", F.lit(kind), *[F.col(x).cast("string") for x in c]).cast("binary"))
     by = W.partitionBy("user_id").orderBy("ts", "event_id")
-    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
-    state = events.select("event_id", "user_id", "ts", *[F.max(F.when(F.col("event_type") == t, F.col("event_id"))).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"t{i}") for i, t in enumerate(types)])
-    listed = F.filter(F.array(*[F.struct(F.lit(t).alias("name"), F.col(f"t{i}").alias("e")) for i, t in enumerate(types)]), lambda x: x["e"].isNotNull())
-    state = state.select("event_id", "user_id", listed.alias("entries")).withColumn("tree", F.sha1(F.concat(F.lit("tree "), F.col("user_id").cast("string"), F.lit(" "), F.to_json("entries")).cast("binary")))
-    commits = event_commits(events).drop("tree").join(state.select("event_id", "tree"), "event_id")
-    entries = state.select(F.col("user_id").cast("string").alias("repo_id"), F.col("tree").alias("tree_oid"), F.posexplode("entries").alias("ordinal", "x"))
-    entries = entries.select("repo_id", "tree_oid", "ordinal", F.lit("file").alias("mode"), "x.name", F.sha1(F.concat(F.lit("blob "), F.col("x.e").cast("string")).cast("binary")).alias("oid"))
+    # an event is its type's entry in the trees of its user from its own place up to the type's next event
+    placed = events.select("event_id", "user_id", "event_type", F.row_number().over(by).alias("n"), F.count(F.lit(1)).over(W.partitionBy("user_id")).cast("int").alias("most"))
+    until = F.coalesce(F.lead("n").over(W.partitionBy("user_id", "event_type").orderBy("n")) - 1, F.col("most"))
+    held = placed.filter("event_type is not null").withColumn("until", until).withColumn("at", F.explode(F.sequence("n", "until")))
+    entries = held.select(F.col("user_id").cast("string").alias("repo_id"), oid("tree", "user_id", "at").alias("tree_oid"), F.lit(0).alias("ordinal"), F.lit("file").alias("mode"), F.col("event_type").alias("name"), oid("blob", "event_id").alias("oid"))
+    commits = event_commits(events).drop("tree").join(placed.select("event_id", oid("tree", "user_id", "n").alias("tree")), "event_id")
     return commits, entries  # every event makes a tree of its own, so no entry comes twice
 
 

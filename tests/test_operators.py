@@ -151,3 +151,18 @@ def test_stream(spark, tmp_path):
     assert spark.table("commits_seen").count() == 10
     windows = tail.commits_per_window(spark.table("commits_seen")).collect()
     assert sum(r.n_commits for r in windows) == 10 and len(windows) > 3
+
+
+def test_event_trees_hold_every_type(spark):
+    from chronolith.plans import adapters
+
+    rows = [(i, 1 + i % 2, f"2024-01-01 00:{i // 60:02}:{i % 60:02}", f"type{i % 75:03}") for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).persist()
+    commits, entries = adapters.event_trees(events)
+    named = adapters.event_tips(events).selectExpr("repo_id", "'HEAD' name", "oid", "cast(null as string) symref_target", "'loose' source")
+    got = {r.oid: r.changed_paths for r in index.build_index(commits, entries, named).collect()}
+    own = {r.oid: (r.event_type, len(r.parents)) for r in commits.collect()}
+    assert len(got) == 200 and all(got[o] == ([t] if n else []) for o, (t, n) in own.items())
+    trees = {r.oid: r.tree for r in commits.collect()}
+    last = next(r.oid for r in commits.filter("event_id = 199").collect())
+    assert entries.filter(F.col("tree_oid") == trees[last]).count() == len({t for i, u, _, t in rows if u == 2})
