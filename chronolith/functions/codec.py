@@ -12,6 +12,8 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+
 from chronolith.errors import CorruptedObject, LimitExceeded, MalformedObject
 from chronolith.schemas import LIMITS, OBJECT_TYPES, TREE_MODES
 
@@ -42,6 +44,25 @@ def inflate_prefix(data: bytes | memoryview, limit: int) -> tuple[bytes, int]:
     return out, len(data) - len(stream.unused_data)
 
 
+def inflate_at(data, at: int, end: int, limit: int) -> bytes:
+    """The stream that begins at a place of data, read in pieces no longer than it may need."""
+    stream, out = zlib.decompressobj(), bytearray()
+    try:
+        while not stream.eof:
+            piece = stream.unconsumed_tail
+            if not piece:
+                piece = data[at : min(end, at + max(512, limit - len(out)))]
+                at += len(piece)
+                if not piece:
+                    raise CorruptedObject("stream cut short")
+            out += stream.decompress(piece, limit - len(out) + 1)
+            if len(out) >= limit:
+                raise LimitExceeded(f"{limit} bytes or more")
+    except zlib.error as e:
+        raise CorruptedObject(str(e)) from e
+    return bytes(out)
+
+
 def object_id(kind: str, content: bytes) -> str:
     return hashlib.sha1(b"%s %d\0" % (kind.encode(), len(content)) + content).hexdigest()
 
@@ -76,31 +97,63 @@ def read_loose(data: bytes, oid: str, limit: int = LIMITS["loose_object_max"]) -
 
 
 class PackIndex:
-    """The index of one pack, version 2."""
+    """The index of one pack, version 2. Ids and offsets stay arrays; only what is asked for becomes Python objects."""
 
     def __init__(self, data: bytes):
-        if len(data) < 8 + 1024 + 40:
-            raise MalformedObject("index too short")
-        magic, version = struct.unpack_from(">4sI", data)
-        if magic != b"\xfftOc" or version != 2:
-            raise MalformedObject("index magic or version")
-        fanout = struct.unpack_from(">256I", data, 8)
-        n = fanout[255]
-        if any(a > b for a, b in zip(fanout, fanout[1:], strict=False)) or len(data) < 8 + 1024 + 28 * n + 40:
+        n = index_count(data)
+        if len(data) < 8 + 1024 + 28 * n + 40:
             raise CorruptedObject("index fanout")
         at = 8 + 1024
-        self.oids = [data[i : i + 20].hex() for i in range(at, at + 20 * n, 20)]
+        self.n, self.ids = n, np.frombuffer(data, np.uint8, 20 * n, at).reshape(n, 20)
         at += 24 * n
-        small = struct.unpack_from(f">{n}I", data, at)
+        small = np.frombuffer(data, ">u4", n, at).astype(np.int64)
         at += 4 * n
         more, rest = divmod(len(data) - 40 - at, 8)
         if rest:
             raise CorruptedObject("index length")
-        large = struct.unpack_from(f">{more}Q", data, at)
-        if any(x >> 31 and (x & 0x7FFFFFFF) >= more for x in small):
+        far = small >> 31 == 1
+        if (small[far] & 0x7FFFFFFF >= more).any():
             raise CorruptedObject("index offset")
-        self.offsets = [large[x & 0x7FFFFFFF] if x >> 31 else x for x in small]
-        self.pack_sha = data[-40:-20]
+        if far.any():
+            small[far] = np.frombuffer(data, ">u8", more, at).astype(np.int64)[small[far] & 0x7FFFFFFF]
+        self.places, self.pack_sha = small, data[-40:-20]
+        self.heads = np.ascontiguousarray(self.ids[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+
+    @property
+    def oids(self) -> list[str]:
+        return [row.tobytes().hex() for row in self.ids]
+
+    @property
+    def offsets(self) -> list[int]:
+        return self.places.tolist()
+
+    def find(self, oid: str) -> int | None:
+        """The offset of an object, by halving."""
+        raw = bytes.fromhex(oid)
+        first = int(np.searchsorted(self.heads, np.uint64(int.from_bytes(raw[:8], "big"))))
+        while first < self.n and self.ids[first, :8].tobytes() == raw[:8]:
+            if self.ids[first].tobytes() == raw:
+                return int(self.places[first])
+            first += 1
+        return None
+
+    def in_pack_order(self, start: int, stop: int) -> list[tuple[int, str]]:
+        """(offset, id) of the objects from the start-th to the stop-th place of the pack."""
+        chosen = np.argsort(self.places, kind="stable")[start:stop]
+        return [(int(self.places[i]), self.ids[i].tobytes().hex()) for i in chosen]
+
+
+def index_count(head: bytes) -> int:
+    """Objects that an index lists, from its first 1,032 bytes."""
+    if len(head) < 8 + 1024:
+        raise MalformedObject("index too short")
+    magic, version = struct.unpack_from(">4sI", head)
+    if magic != b"\xfftOc" or version != 2:
+        raise MalformedObject("index magic or version")
+    fanout = np.frombuffer(head, ">u4", 256, 8)
+    if (fanout[:-1] > fanout[1:]).any():
+        raise CorruptedObject("index fanout")
+    return int(fanout[255])
 
 
 def check_pack(data: bytes, index: PackIndex | None = None) -> int:
@@ -155,7 +208,7 @@ def read_entry(data: bytes, offset: int, limit: int = LIMITS["pack_object_max"])
         byte(at + 19)
         base_oid = data[at : at + 20].hex()
         at += 20
-    body, _ = inflate_prefix(memoryview(data)[at:end], size + 2)
+    body = inflate_at(data, at, end, size + 2)
     if len(body) != size:
         raise CorruptedObject("entry size")
     return PACK_TYPES[code], size, base_offset, base_oid, body
@@ -268,10 +321,20 @@ def make_delta(base: bytes, target: bytes) -> bytes:
     return bytes(out)
 
 
-def resolve_chain(start: int, entry: Callable[[int], tuple], outside: Callable[[str], tuple[str, bytes] | None], depth_max: int = LIMITS["delta_depth_max"], known: dict[int, tuple[str, bytes]] | None = None) -> tuple[str, bytes] | None:
-    """Type and content of the entry at an offset, its delta chain applied; None if a base is not at hand.
-
-    entry(offset) reads a pack entry; outside(oid) gives a base by id. Chains of more than depth_max hops are refused.
+def resolve_chain(
+    start: int,
+    entry: Callable[[int], tuple],
+    outside: Callable[[str, int], tuple[str, bytes, int] | None],
+    depth_max: int = LIMITS["delta_depth_max"],
+    known: dict[int, tuple[str, bytes, int]] | None = None,
+    place: Callable[[str], int | None] = lambda oid: None,
+    used: int = 0,
+) -> tuple[str, bytes, int] | None:
+    """(type, content, hops) of the entry at an offset, its delta chain applied; None if a base is not at hand.
+
+    entry(offset) reads a pack entry; place(oid) is the offset of a base by id in the same pack; outside(oid, hops) gives
+    a base from elsewhere, told how many hops lead to it. Chains of more than depth_max hops, by offset or by id, are
+    refused, so a circle of bases is too. used: hops that led here.
     """
     deltas, at, found = [], start, None
     while found is None:
@@ -280,19 +343,23 @@ def resolve_chain(start: int, entry: Callable[[int], tuple], outside: Callable[[
             break
         kind, _, base_offset, base_oid, data = entry(at)
         if kind not in ("ofs_delta", "ref_delta"):
-            found = kind, data
+            found = kind, data, 0
             break
         deltas.append(data)
-        if len(deltas) > depth_max:
+        if used + len(deltas) > depth_max:
             raise LimitExceeded("delta depth")
         if base_offset is not None:
             at = base_offset
-        elif (found := outside(base_oid)) is None:
+        elif (inside := place(base_oid)) is not None:
+            at = inside
+        elif (found := outside(base_oid, used + len(deltas))) is None:
             return None
-    kind, content = found
+    kind, content, hops = found
+    if used + len(deltas) + hops > depth_max:
+        raise LimitExceeded("delta depth")
     for delta in reversed(deltas):
         content = apply_delta(content, delta)
-    return kind, content
+    return kind, content, hops + len(deltas)
 
 
 def write_pack(objects: Iterable[tuple[str, bytes]], delta_against_previous: bool = False, by_id: bool = False) -> tuple[bytes, bytes]:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolith import schemas
-from chronolith.errors import LimitExceeded, RepoError
+from chronolith.errors import RepoError, raising
 from chronolith.functions import codec, scalar
 from chronolith.workspace import Workspace, sized
 
@@ -71,12 +71,12 @@ def _apply(delta_first: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(content, pa.binary())], names=[*keep, "content"])
 
 
-def resolve_deltas(entries: DataFrame, loose: DataFrame | None = None, depth_max: int = schemas.LIMITS["delta_depth_max"], work: Workspace | None = None) -> DataFrame:
+def resolve_deltas(entries: DataFrame, loose: DataFrame | None = None, depth_max: int = schemas.LIMITS["delta_depth_max"], work: Workspace | None = None, mode: str = "FAILFAST") -> DataFrame:
     """pack_entries (and loose objects as further bases) -> (repo_id, pack, offset, oid, type, content, hops).
 
     One round applies the deltas whose base is at hand: bases by offset are in the same pack, bases by id anywhere. The
-    rounds are as many as the longest chain has hops; rounds beyond depth_max are refused. Entries without a base that
-    can be reached are left out.
+    rounds are as many as the longest chain has hops. Chains of more than depth_max hops are LimitExceeded, entries
+    without a base that can be reached (circles too) NotFound: FAILFAST raises, PERMISSIVE keeps them with an `error`.
     """
     work = work or Workspace(entries.sparkSession, "deltas")
     whole = entries.filter(~is_delta()).selectExpr("repo_id", "pack", "offset", "oid", "type", "data content", "0 hops")
@@ -96,18 +96,30 @@ def resolve_deltas(entries: DataFrame, loose: DataFrame | None = None, depth_max
         ready = ready.union(waiting.filter("base_offset is null").join(by_id, ["repo_id", "base_oid"]).select(columns))
         schema = "repo_id string, pack string, offset long, oid string, type string, hops int, content binary"
         fresh = work.write(f"r{n}", ready.withColumn("hops", F.col("hops") + 1).mapInArrow(_apply, schema).select("repo_id", "pack", "offset", "oid", "type", "content", "hops"))
-        if not sized(fresh):
-            break
-        if n > depth_max:
-            raise LimitExceeded("delta depth")
+        stuck = not sized(fresh)
+        if stuck or n > depth_max:
+            code = "NotFound" if stuck else "LimitExceeded"
+            if mode != "PERMISSIVE":
+                raise raising(code, "delta base" if stuck else "delta depth")
+            bad = waiting.selectExpr("repo_id", "pack", "offset", "oid", "cast(null as string) type", "cast(null as binary) content", "cast(null as int) hops", f"'{code}' error")
+            return done.withColumn("error", F.lit(None).cast("string")).union(bad)
         done = done.union(fresh)
         waiting = work.write(f"w{n}", waiting.join(fresh.select("repo_id", "pack", "offset"), ["repo_id", "pack", "offset"], "left_anti").select(waiting.columns))
-    return done
+    return done.withColumn("error", F.lit(None).cast("string")) if mode == "PERMISSIVE" else done
+
+
+def content_text(kind: str, encoding: str = "UTF-8") -> F.Column:
+    """The content of objects of one type as text, null for others.
+
+    The type is asked within the expression: beside a filter the optimiser may decode before it has filtered, and fail
+    at the bytes of another type. ISO-8859-1 reads any bytes without loss.
+    """
+    return F.when(F.col("type") == kind, F.decode("content", encoding if encoding == "ISO-8859-1" else "UTF-8"))
 
 
 def commit_headers(objects: DataFrame, encoding: str = "UTF-8") -> DataFrame:
     """commit objects -> commits, with string functions alone; `error` is MalformedObject where the text is no commit."""
-    text = F.decode("content", encoding if encoding == "ISO-8859-1" else "UTF-8")
+    text = content_text("commit", encoding)
     rows = objects.filter("type = 'commit'").select("repo_id", "oid", text.alias("text"))
     rows = rows.withColumn("cut", F.instr("text", "\n\n")).withColumn("head", F.split(F.expr("substring(text, 1, cut - 1)"), "\n"))
 
@@ -148,7 +160,7 @@ def first_parent(commits: DataFrame) -> DataFrame:
 
 def tags_of(objects: DataFrame) -> DataFrame:
     """tag objects -> (repo_id, oid, target_oid); null target where the header names none."""
-    head = F.split(F.substring_index(F.decode("content", "ISO-8859-1"), "\n\n", 1), "\n")
+    head = F.split(F.substring_index(content_text("tag", "ISO-8859-1"), "\n\n", 1), "\n")
     named = F.filter(head, lambda x: x.rlike(r"\Aobject [0-9a-fA-F]{40}\z"))
     return objects.filter("type = 'tag'").select("repo_id", "oid", F.lower(F.substring(F.get(named, F.lit(0)), 8, 40)).alias("target_oid"))
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.workspace import Workspace, sized
+from chronolith.errors import NotFound
+from chronolith.operators.trees import EMPTY_TREE
+from chronolith.workspace import Workspace
 
 
 def _changes(joined: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,11 +35,12 @@ def diff_files(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo_id
     return _changes(side(old, "old").join(side(new, "new"), [*keys, "path"], "full_outer"), list(keys))
 
 
-def diff_trees(entries: DataFrame, pairs: DataFrame, work: Workspace | None = None) -> DataFrame:
+def diff_trees(entries: DataFrame, pairs: DataFrame, work: Workspace | None = None, mode: str = "FAILFAST") -> DataFrame:
     """(repo_id, old_tree?, new_tree?) -> those with kind, path, old_oid, new_oid; a null side is an empty tree.
 
     Level by level: entries equal on both sides are dropped before anything below them is read, so the work goes with
-    what differs and not with the trees.
+    what differs and not with the trees. A tree without entries that is not the empty one is missing: FAILFAST raises
+    NotFound, PERMISSIVE gives a row of kind `error` with the folder's path and the missing id as its old or new one.
     """
     work = work or Workspace(entries.sparkSession, "treediff")
     keys = ["repo_id", "old_tree", "new_tree"]
@@ -49,15 +52,22 @@ def diff_trees(entries: DataFrame, pairs: DataFrame, work: Workspace | None = No
     out, n = None, 0
     of = lambda old, c: F.max(F.when(F.col("is_old") == old, F.col(c)))
     while True:
-        listed = front.select("pair", "repo_id", "prefix", "s.is_old", "s.at").filter("at is not null").join(below, ["repo_id", "at"])
+        listed = front.select("pair", "repo_id", "prefix", "s.is_old", "s.at").filter("at is not null").join(below, ["repo_id", "at"], "left")
+        # a missing tree is one row without a name, whose id takes the entry's place
+        listed = listed.filter(F.col("name").isNotNull() | (F.col("at") != EMPTY_TREE)).withColumn("oid", F.when(F.col("name").isNull(), F.col("at")).otherwise(F.col("oid")))
         met = listed.groupBy("pair", "repo_id", "prefix", "name", (F.col("mode") == "directory").alias("is_dir"))
         level = met.agg(of(True, "mode").alias("old_mode"), of(True, "oid").alias("old_oid"), of(False, "mode").alias("new_mode"), of(False, "oid").alias("new_oid"))
-        level = level.filter("not (old_mode <=> new_mode and old_oid <=> new_oid)").withColumn("path", F.concat("prefix", "name"))
+        level = level.filter("name is null or not (old_mode <=> new_mode and old_oid <=> new_oid)").withColumn("path", F.coalesce(F.concat("prefix", "name"), F.rtrim("prefix", F.lit("/"))))
         level = work.write(f"l{n}", level)
-        leaves = _changes(level.filter("not is_dir"), ["pair"])
+        seen = level.select(F.max(F.col("name").isNull()).alias("missing"), F.max("is_dir").alias("deeper")).first()
+        if seen.missing and mode != "PERMISSIVE":
+            raise NotFound("a tree")
+        leaves = _changes(level.filter("name is not null and not is_dir"), ["pair"])
+        if seen.missing:
+            leaves = leaves.union(level.filter("name is null").selectExpr("pair", "'error' kind", "path", "old_oid", "new_oid"))
         out = leaves if out is None else out.union(leaves)
         folders = level.filter("is_dir")
-        if not sized(folders):
+        if not seen.deeper:
             return out.join(numbered, "pair").select(*keys, "kind", "path", "old_oid", "new_oid")
         front = folders.select("pair", "repo_id", F.concat("path", F.lit("/")).alias("prefix"), sides(F.col("old_oid"), F.col("new_oid")))
         n += 1

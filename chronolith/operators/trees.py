@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolith import schemas
-from chronolith.errors import LimitExceeded
+from chronolith.errors import LimitExceeded, NotFound
 from chronolith.functions import codec
-from chronolith.workspace import Workspace, sized
+from chronolith.workspace import Workspace
 
 ENTRY = pa.list_(pa.struct([("mode", pa.string()), ("name", pa.string()), ("oid", pa.string())]))
 
@@ -29,8 +29,16 @@ def tree_entries(objects: DataFrame, strict: bool = True, encoding: str = "utf-8
     return parsed.select("repo_id", "tree_oid", F.posexplode("entries").alias("ordinal", "e")).select("repo_id", "tree_oid", "ordinal", "e.mode", "e.name", "e.oid")
 
 
-def walk_trees(entries: DataFrame, roots: DataFrame, depth_max: int = schemas.LIMITS["tree_depth_max"], work: Workspace | None = None) -> DataFrame:
-    """(repo_id, root_tree) -> tree_files: every entry below the roots, directories included, one join a level."""
+#: Fixed value of the object format: the id of a tree without entries, which no entry names.
+EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
+
+
+def walk_trees(entries: DataFrame, roots: DataFrame, depth_max: int = schemas.LIMITS["tree_depth_max"], work: Workspace | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """(repo_id, root_tree) -> tree_files: every entry below the roots, directories included, one join a level.
+
+    A tree without entries that is not the empty one is missing: FAILFAST raises NotFound, PERMISSIVE adds an `error`
+    column and a row for it, with the folder's path and no mode.
+    """
     work = work or Workspace(entries.sparkSession, "walk")
     below = entries.select("repo_id", F.col("tree_oid").alias("at"), "mode", "name", "oid")
     front = roots.select("repo_id", "root_tree").distinct().selectExpr("repo_id", "root_tree", "'' prefix", "root_tree at")
@@ -38,17 +46,21 @@ def walk_trees(entries: DataFrame, roots: DataFrame, depth_max: int = schemas.LI
     while True:
         if n > depth_max:
             raise LimitExceeded("tree depth")
-        level = front.join(below, ["repo_id", "at"]).select("repo_id", "root_tree", F.concat("prefix", "name").alias("path"), F.lit(n).alias("depth"), "mode", "oid")
-        level = work.write(f"l{n}", level)
+        level = front.join(below, ["repo_id", "at"], "left").filter(F.col("name").isNotNull() | (F.col("at") != EMPTY_TREE))
+        path = F.coalesce(F.concat("prefix", "name"), F.rtrim("prefix", F.lit("/")))
+        level = work.write(f"l{n}", level.select("repo_id", "root_tree", path.alias("path"), F.lit(n).alias("depth"), "mode", "oid", F.when(F.col("name").isNull(), "NotFound").alias("error")))
         levels.append(level)
-        front = level.filter("mode = 'directory'").selectExpr("repo_id", "root_tree", "concat(path, '/') prefix", "oid at")
-        if not sized(front):
+        seen = level.select(F.max(F.col("error")).alias("error"), F.max(F.col("mode") == "directory").alias("deeper")).first()
+        if seen.error and mode != "PERMISSIVE":
+            raise NotFound("a tree")
+        if not seen.deeper:
             break
+        front = level.filter("mode = 'directory'").selectExpr("repo_id", "root_tree", "concat(path, '/') prefix", "oid at")
         n += 1
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)
-    return out
+    return out if mode == "PERMISSIVE" else out.drop("error")
 
 
 def in_walk_order(files: DataFrame) -> DataFrame:

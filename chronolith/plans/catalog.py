@@ -82,12 +82,12 @@ def pack_roundtrip(spark, sf_dir):
             for a in range(0, len(ids), 40):
                 blobs = {codec.object_id("blob", t.encode()): ("blob", t.encode()) for t in texts[a : a + 40]}
                 pack, idx = codec.write_pack(blobs.values(), delta_against_previous=True)
-                at = codec.PackIndex(idx)
+                at, found, known = codec.PackIndex(idx), [], {}
                 codec.check_pack(pack, at)
-                place, found = dict(zip(at.oids, at.offsets, strict=True)), []
                 for t in texts[a : a + 40]:
-                    kind, content = codec.resolve_chain(place[codec.object_id("blob", t.encode())], lambda o, pack=pack: codec.read_entry(pack, o), lambda oid: None)
-                    found.append((kind, codec.object_id(kind, content)))
+                    place = at.find(codec.object_id("blob", t.encode()))
+                    known[place] = codec.resolve_chain(place, lambda o, pack=pack: codec.read_entry(pack, o), lambda oid, used: None, known=known)
+                    found.append((known[place][0], codec.object_id(*known[place][:2])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 40], pa.int64()), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["doc_id", "type", "oid"])
 
     return table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(each, "doc_id long, type string, oid string")

@@ -14,11 +14,16 @@ class Workspace:
     """A folder of written tables under spark.checkpoint.dir, which every executor shares.
 
     Lineage is cut by writing a table and reading it back, so a lost executor only costs the stage at hand.
-    Only where the setting is absent (local tests) is a folder of the machine taken instead.
+    Only where the setting is absent and the master is local (tests) is a folder of the machine taken instead; on a
+    cluster its absence is an error, as executors would write where nobody else reads.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or _fallback()
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = _fallback()
         self.spark, self.path = spark, f"{base.rstrip('/')}/chronolith/{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 

@@ -43,10 +43,7 @@ def made(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def frames(spark, made):
-    out = open_repo(spark, str(made.path), verify="full")
-    for name in ("objects", "commits", "tree_entries"):
-        setattr(out, name, getattr(out, name).persist())
-    return out
+    return open_repo(spark, str(made.path), verify="full")
 
 
 def test_objects_are_those_of_git(frames, made):
@@ -118,7 +115,10 @@ def test_blame(frames, made):
         want = [line.split(" ")[0].lstrip("^") for line in made.git("blame", "-l", "--root", "--first-parent", path).splitlines()]
         got = frames.blame(path).orderBy("line_no").collect()
         assert [r.blame_oid for r in got] == want
-        assert [r.blame_oid for r in frames.blame(path, index=indexed).orderBy("line_no").collect()] == want
+        for exact in (True, False):
+            assert [r.blame_oid for r in frames.blame(path, index=indexed, exact=exact).orderBy("line_no").collect()] == want
+    with pytest.raises(Exception, match="NotFound: nope"):
+        frames.blame("nope").collect()
     assert [r.line for r in frames.blame("data.txt").orderBy("line_no").collect()] == (made.path / "data.txt").read_text().splitlines()
 
 
@@ -126,8 +126,12 @@ def test_blob_diff(frames, made, spark):
     old, new = (made.git("rev-parse", f"{c}:data.txt").strip() for c in ("HEAD~3", "HEAD"))
     repo = str(made.path)
     tree = made.git("rev-parse", "HEAD^{tree}").strip()
-    pairs = spark.createDataFrame([(repo, old, new), (repo, tree, new)], "repo_id string, old_oid string, new_oid string")
-    got = frames.diff_blobs(pairs).collect()
+    rows = lambda *r: spark.createDataFrame([(repo, *x) for x in r], "repo_id string, old_oid string, new_oid string")
+    for bad, error in ((tree, "MalformedObject"), ("0" * 40, "NotFound")):
+        with pytest.raises(Exception, match=error):
+            frames.diff_blobs(rows((old, new), (bad, new))).collect()
+    assert open_repo(spark, repo, mode="PERMISSIVE").diff_blobs(rows((old, new), (tree, new), ("0" * 40, new))).count() == 1
+    got = frames.diff_blobs(rows((old, new))).collect()
     assert [r.new_oid for r in got] == [new]
     changed = [(o.op, o.a_idx, o.b_idx) for o in got[0].ops if o.op != "equal"]
     assert changed == [("delete", 14, None), ("insert", None, 14), ("insert", None, 20)]
@@ -169,6 +173,82 @@ def test_errors(spark, tmp_path):
         open_repo(spark, str(r.path)).read("objects").collect()
 
 
+def test_bad_packs(spark, tmp_path):
+    r = Repo(tmp_path / "p")
+    for i in range(3):
+        r.put("x", f"{i}\n" * 50)
+        r.commit(f"c{i}")
+    r.git("gc", "-q")
+    r.put("x", "loose\n")
+    r.commit("last")
+    pack = next((r.path / ".git/objects/pack").glob("*.pack"))
+    idx = pack.with_suffix(".idx")
+    whole, index = pack.read_bytes(), idx.read_bytes()
+    for path, bad in ((pack, whole[:50] + bytes([whole[50] ^ 1]) + whole[51:]), (idx, index[:900]), (pack, b"JUNK" + whole[4:])):
+        path.chmod(0o644)
+        path.write_bytes(bad)
+        rows = open_repo(spark, str(r.path), mode="PERMISSIVE").read("objects").collect()
+        assert Counter(x.error for x in rows if x.storage == "loose") == {None: 3}
+        assert [x.oid for x in rows if x.error in ("CorruptedObject", "MalformedObject")] == [None]
+        for table in ("pack_entries", "pack_index"):
+            assert open_repo(spark, str(r.path), mode="PERMISSIVE").read(table).filter("error is not null").count() == 1
+        with pytest.raises(Exception, match="CorruptedObject|MalformedObject"):
+            open_repo(spark, str(r.path)).read("objects").collect()
+        pack.write_bytes(whole)
+        idx.chmod(0o644)
+        idx.write_bytes(index)
+    assert open_repo(spark, str(r.path)).objects.count() == 12
+    assert open_repo(spark, f"file://{tmp_path}/*").objects.count() == 12
+
+
+def test_many_ranges_and_bases_elsewhere(spark, tmp_path, monkeypatch):
+    """A pack in ranges of one object each, whose bases by id lie in another pack and in loose files."""
+    from chronolith.functions import codec
+    from chronolith.sources import files
+
+    r = Repo(tmp_path / "q")
+    texts = [("blob", b"line\n" * 30 + str(i).encode()) for i in range(6)]
+    one, one_idx = codec.write_pack(texts[:1])
+    two, two_idx = codec.write_pack(texts, True, True)
+    at = codec.PackIndex(two_idx)
+    where = r.path / ".git/objects/pack"
+    where.mkdir(exist_ok=True)
+    for name, pack, idx in (("a", one, one_idx), ("b", two, two_idx)):
+        (where / f"pack-{name}.pack").write_bytes(pack)
+        (where / f"pack-{name}.idx").write_bytes(idx)
+    monkeypatch.setattr("chronolith.sources.gitrepo.RANGE", 1)
+    monkeypatch.setattr(files, "PIECE", 64)
+    frames = open_repo(spark, str(r.path), verify="full")
+    assert {(x.type, bytes(x.content)) for x in frames.objects.collect()} == set(texts)
+    assert frames.read("pack_entries").filter("type = 'ref_delta'").count() == 5 == at.n - 1
+
+
+def test_index_opened_or_built(spark, made, tmp_path):
+    frames = open_repo(spark, str(made.path))
+    path = str(tmp_path / "idx")
+    n = frames.open_index(path).count()
+    made.git("tag", "extra", "HEAD~1")
+    made.git("branch", "more", "HEAD")
+    again = open_repo(spark, str(made.path))
+    assert index.open_index(spark, path, again.refs).count() == 0 or n == 0
+    assert again.open_index(path).count() == n
+    made.git("tag", "-d", "extra")
+    made.git("branch", "-D", "more")
+
+
+def test_binary_blobs_leave_text_alone(spark, tmp_path):
+    r = Repo(tmp_path / "bin")
+    (r.path / "x.bin").write_bytes(bytes(range(256)))
+    r.put("t.txt", "a\nb\n")
+    r.commit("c")
+    frames = open_repo(spark, str(r.path))
+    assert frames.blame("t.txt").count() == 2
+    assert frames.walk().count() == 2
+    assert open_repo(spark, str(r.path), textEncoding="ISO-8859-1").blame("x.bin").count() == bytes(range(256)).count(b"\n") + 1
+    with pytest.raises(Exception):  # noqa: B017
+        frames.blame("x.bin").collect()
+
+
 def test_empty(spark, tmp_path):
     r = Repo(tmp_path / "none")
     f = open_repo(spark, str(r.path))

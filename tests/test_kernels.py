@@ -96,25 +96,43 @@ def test_deltas():
 
 
 @pytest.mark.parametrize("by_id", [False, True])
-def test_delta_depth(by_id):
+@pytest.mark.parametrize("inside", [False, True])
+def test_delta_depth(by_id, inside):
     texts = [("blob", b"line\n" * 30 + str(i).encode()) for i in range(53)]
     pack, idx = codec.write_pack(texts, True, by_id)
     index = codec.PackIndex(idx)
     assert codec.check_pack(pack, index) == 53
-    at = dict(zip(index.oids, index.offsets, strict=True))
+    assert dict(zip(index.oids, index.offsets, strict=True)) == {o: index.find(o) for o in index.oids} and index.find("0" * 40) is None
+    assert [o for o, _ in index.in_pack_order(0, 60)] == sorted(index.offsets)
 
     def read(i, known=None):
-        def outside(oid):
-            return codec.resolve_chain(at[oid], entry, outside)
-
         entry = lambda o: codec.read_entry(pack, o)
-        return codec.resolve_chain(at[codec.object_id(*texts[i])], entry, outside, known=known)
 
-    assert read(49) == texts[49] and read(50) == texts[50]
-    if not by_id:
-        with pytest.raises(LimitExceeded):
-            read(51)
-        assert read(51, {at[codec.object_id(*texts[1])]: texts[1]}) == texts[51]
+        def outside(oid, used):
+            return codec.resolve_chain(index.find(oid), entry, outside, known=known, used=used)
+
+        place = index.find if inside else lambda oid: None
+        return codec.resolve_chain(index.find(codec.object_id(*texts[i])), entry, outside, known=known, place=place)
+
+    assert read(49) == (*texts[49], 49) and read(50) == (*texts[50], 50)
+    with pytest.raises(LimitExceeded):
+        read(51)
+    base = index.find(codec.object_id(*texts[1]))
+    assert read(51, {base: (*texts[1], 0)})[:2] == texts[51]
+    with pytest.raises(LimitExceeded):  # what is remembered counts its own hops
+        read(51, {base: (*texts[1], 1)})
+
+
+def test_circle_of_bases():
+    entry = lambda o: ("ref_delta", 0, None, f"{1 - o:040x}", b"\0\0")
+    with pytest.raises(LimitExceeded):
+        codec.resolve_chain(0, entry, lambda oid, used: codec.resolve_chain(int(oid, 16), entry, lambda *a: None, used=used), place=lambda oid: int(oid, 16))
+    with pytest.raises(LimitExceeded):
+
+        def outside(oid, used):
+            return codec.resolve_chain(int(oid, 16), entry, outside, used=used)
+
+        codec.resolve_chain(0, entry, outside)
 
 
 def test_packs():

@@ -86,7 +86,7 @@ def test_symbolic_refs(spark):
 
 @pytest.mark.parametrize(
     "path,error",
-    [("src/foo.zig", None), ("a:b", None), ("../x", "PathTraversal"), ("a/../b", "PathTraversal"), ("/x", "AbsolutePath"), ("C:\\x", "AbsolutePath"), ("", "InvalidPath"), ("a\\b", "InvalidPath"), ("a//b", "InvalidPath"), ("a/", "InvalidPath"), ("./a", "InvalidPath"), ("a\0b", "InvalidPath"), ("x" * 4097, "PathTooLong"), ("x" * 4096, None), ("a//..", "InvalidPath")],
+    [("src/foo.c", None), ("a:b", None), ("../x", "PathTraversal"), ("a/../b", "PathTraversal"), ("/x", "AbsolutePath"), ("C:\\x", "AbsolutePath"), ("", "InvalidPath"), ("a\\b", "InvalidPath"), ("a//b", "InvalidPath"), ("a/", "InvalidPath"), ("./a", "InvalidPath"), ("a\0b", "InvalidPath"), ("x" * 4097, "PathTooLong"), ("x" * 4096, None), ("a//..", "InvalidPath")],
 )
 def test_paths(spark, path, error):
     assert spark.createDataFrame([(path,)], "p string").select(scalar.path_error(F.col("p"))).first()[0] == error
@@ -106,6 +106,38 @@ def test_walk_limit_and_submodules(spark):
         trees.walk_trees(entries, roots, depth_max=1)
 
 
+def test_missing_trees(spark):
+    rows = [("r", "root", 0, "directory", "d", "t1"), ("r", "root", 1, "directory", "e", trees.EMPTY_TREE), ("r", "old", 0, "directory", "d", "t0"), ("r", "t0", 0, "file", "x", "b")]
+    entries = spark.createDataFrame(rows, "repo_id string, tree_oid string, ordinal int, mode string, name string, oid string")
+    roots = spark.createDataFrame([("r", "root")], "repo_id string, root_tree string")
+    pair = spark.createDataFrame([("r", "old", "root"), ("r", "gone", "old")], "repo_id string, old_tree string, new_tree string")
+    for f in (lambda: trees.walk_trees(entries, roots), lambda: treediff.diff_trees(entries, pair)):
+        with pytest.raises(NotFound):
+            f()
+    got = {(r.path, r.mode, r.error) for r in trees.walk_trees(entries, roots, mode="PERMISSIVE").collect()}
+    assert got == {("d", "directory", None), ("e", "directory", None), ("d", None, "NotFound")}
+    got = {(r.old_tree, r.kind, r.path, r.old_oid, r.new_oid) for r in treediff.diff_trees(entries, pair, mode="PERMISSIVE").collect()}
+    assert got == {("old", "error", "d", None, "t1"), ("old", "deleted", "d/x", "b", None), ("gone", "error", "", "gone", None), ("gone", "added", "d/x", None, "b")}
+
+
+def test_delta_rounds_limits(spark):
+    from chronolith.functions import codec
+
+    schema = "repo_id string, pack string, offset long, oid string, type string, size long, base_offset long, base_oid string, data binary"
+    step = codec.make_delta(b"x", b"x")
+    chain = [("r", "p", 0, "o0", "blob", 1, None, None, b"x")] + [("r", "p", i, f"o{i}", "ref_delta" if i % 2 else "ofs_delta", 1, None if i % 2 else i - 1, f"o{i - 1}" if i % 2 else None, step) for i in range(1, 5)]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    assert {r.oid: r.hops for r in objects.resolve_deltas(frame(chain), depth_max=4).collect()} == {f"o{i}": i for i in range(5)}
+    with pytest.raises(LimitExceeded):
+        objects.resolve_deltas(frame(chain), depth_max=3)
+    circle = [("r", "p", 9, "c1", "ref_delta", 1, None, "c2", step), ("r", "p", 10, "c2", "ref_delta", 1, None, "c1", step)]
+    with pytest.raises(NotFound):
+        objects.resolve_deltas(frame(chain + circle))
+    got = objects.resolve_deltas(frame(chain + circle), depth_max=9, mode="PERMISSIVE").collect()
+    assert {(r.oid, r.error) for r in got if r.error} == {("c1", "NotFound"), ("c2", "NotFound")} and len(got) == 7
+    assert sorted(r.oid for r in objects.resolve_deltas(frame(chain), depth_max=3, mode="PERMISSIVE").collect() if r.error == "LimitExceeded") == ["o4"]
+
+
 def test_blame_of_delete_and_return(spark):
     rows = [("r", "f", i, f"c{i}", lines) for i, lines in enumerate((["a", "b"], ["b"], ["a", "b", "c"], []))]
     schema = "repo_id string, path string, seq int, commit string, lines array<string>"
