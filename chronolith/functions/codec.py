@@ -11,6 +11,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -362,13 +363,14 @@ def resolve_chain(
     return kind, content, hops + len(deltas)
 
 
-def write_pack(objects: Iterable[tuple[str, bytes]], delta_against_previous: bool = False, by_id: bool = False) -> tuple[bytes, bytes]:
-    """A pack and its index; with deltas, each object of the previous one's type is stored against it."""
-    body, rows, previous = bytearray(b"PACK" + struct.pack(">II", 2, 0)), [], None
+def write_pack(objects: Iterable[tuple[str, bytes]], delta_against_previous: bool = False, by_id: bool = False, longest: int | None = None) -> tuple[bytes, bytes]:
+    """A pack and its index; with deltas, each object of the previous one's type is stored against it, in chains of at most `longest`."""
+    body, rows, previous, hops = bytearray(b"PACK" + struct.pack(">II", 2, 0)), [], None, 0
     for kind, content in objects:
         oid, start = object_id(kind, content), len(body)
         code, data, base = {v: k for k, v in PACK_TYPES.items()}[kind], content, b""
-        if delta_against_previous and previous and previous[0] == kind:
+        hops = hops + 1 if delta_against_previous and previous and previous[0] == kind and hops != longest else 0
+        if hops:
             data = make_delta(previous[1], content)
             if by_id:
                 code, base = 7, bytes.fromhex(previous[2])
@@ -572,9 +574,14 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h
 
 
-def _bloom_places(member: str, bits: int) -> Iterator[int]:
+@lru_cache(1 << 16)
+def _bloom_hashes(member: str) -> tuple[int, int]:
     h1 = murmur3(member.encode())
-    h2 = murmur3(member.encode(), h1)
+    return h1, murmur3(member.encode(), h1)
+
+
+def _bloom_places(member: str, bits: int) -> Iterator[int]:
+    h1, h2 = _bloom_hashes(member)
     return ((h1 + i * h2 & 0xFFFFFFFF) % bits for i in range(BLOOM_HASHES))
 
 
@@ -593,3 +600,46 @@ def bloom_might_contain(bloom: bytes | None, member: str) -> bool:
     return not bloom or all(bloom[at >> 3] >> (at & 7) & 1 for at in _bloom_places(member, 8 * len(bloom)))
 
 
+
+
+# --- index files -----------------------------------------------------------------------------------------------------
+
+#: Fixed values of the index file: magic and version.
+INDEX_MAGIC, INDEX_VERSION = b"ZIDX", 1
+
+IndexRecord = tuple[str, str, int, list[str], bytes]
+
+
+def write_index(records: Iterable[IndexRecord], digest: str) -> bytes:
+    """An index file of (oid, tree, committer_time, parents, bloom): a header, then the records by id, little-endian."""
+    rows = sorted(records)
+    out = bytearray(INDEX_MAGIC + struct.pack("<HI", INDEX_VERSION, len(rows)) + bytes.fromhex(digest).rjust(20, b"\0"))
+    for oid, tree, time, parents, bloom in rows:
+        if len(parents) > 255:
+            raise LimitExceeded("parents")
+        out += bytes.fromhex(oid) + bytes.fromhex(tree) + struct.pack("<qB", time, len(parents))
+        out += b"".join(map(bytes.fromhex, parents)) + struct.pack("<I", len(bloom or b"")) + (bloom or b"")
+    return bytes(out)
+
+
+def read_index(data: bytes) -> tuple[str, list[IndexRecord]]:
+    """(digest, records) of an index file."""
+    if len(data) < 30 or data[:4] != INDEX_MAGIC:
+        raise MalformedObject("index file")
+    version, n = struct.unpack_from("<HI", data, 4)
+    if version != INDEX_VERSION:
+        raise MalformedObject("index file version")
+    out, at = [], 30
+
+    def take(size: int) -> bytes:
+        nonlocal at
+        if at + size > len(data):
+            raise MalformedObject("index file cut short")
+        at += size
+        return data[at - size : at]
+
+    for _ in range(n):
+        oid, tree, (time, count) = take(20).hex(), take(20).hex(), struct.unpack("<qB", take(9))
+        parents = [take(20).hex() for _ in range(count)]
+        out.append((oid, tree, time, parents, take(*struct.unpack("<I", take(4)))))
+    return data[10:30].hex(), out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolith.errors import RepoError
 from chronolith.functions import codec, scalar
 from chronolith.operators import blame, index, linediff, log, objects, refs, treediff, trees
 from chronolith.plans import adapters
@@ -111,6 +112,28 @@ def delta_roundtrip(spark, sf_dir):
     return done.filter("offset = 13").select(F.col("repo_id").cast("long").alias("doc_id"), F.sha1("content").alias("sha1"), F.col("hops").cast("long").alias("hops"))
 
 
+@query("WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 60 ORDER BY doc_id) - 1 AS hops FROM documents) SELECT doc_id, CASE WHEN hops <= 50 THEN hops END AS hops, CASE WHEN hops > 50 THEN 'LimitExceeded' END AS error FROM d")
+def delta_chain_limit(spark, sf_dir):
+    """Packs of 60 documents, each a delta by id against the one before: chains of more than 50 hops are refused."""
+
+    def each(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        ids = rows.column("doc_id").to_pylist()
+        blobs = [("blob", f"{i} {t}".encode()) for i, t in zip(ids, rows.column("text").to_pylist(), strict=True)]
+        pack, idx = codec.write_pack(blobs, True, by_id=True)
+        at, found = codec.PackIndex(idx), []
+        for b in blobs:
+            try:
+                kind, content, hops = codec.resolve_chain(at.find(codec.object_id(*b)), lambda o: codec.read_entry(pack, o), lambda oid, used: None, place=at.find)
+                found.append((hops, None) if (kind, content) == b else (None, "CorruptedObject"))
+            except RepoError as e:
+                found.append((None, e.code))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "hops": pa.array([f[0] for f in found], pa.int64()), "error": pa.array([f[1] for f in found], pa.string())})
+
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "text", "floor(doc_id / 60) g")
+    return docs.groupBy("g").applyInArrow(each, "doc_id long, hops long, error string")
+
+
 @query(f"SELECT conv_id, turn, {BLOB} AS oid, {BLOB} IN (SELECT {BLOB} FROM documents) AS present FROM conversations UNION ALL SELECT -1, item_id, {BLOB}, {BLOB} IN (SELECT {BLOB} FROM documents) FROM benchmark UNION ALL SELECT -2, doc_id, {BLOB}, true FROM documents")
 def has_object(spark, sf_dir):
     have = adapters.blobs(table(spark, sf_dir, "documents"))
@@ -261,6 +284,21 @@ def first_parent_chain(spark, sf_dir):
     return log.first_parent_chain(adapters.event_commits(events), adapters.event_tips(events)).select("repo_id", "tip", "oid", "depth")
 
 
+DAG = """SELECT user_id::VARCHAR AS repo_id, event_id, sha1('commit ' || event_id) AS oid, row_number() OVER w AS n, lag(event_id) OVER w AS p1, CASE WHEN row_number() OVER w % 5 = 0 THEN lag(event_id, 7) OVER w END AS p2,
+    count(*) OVER (PARTITION BY user_id) - row_number() OVER w AS depth, date_diff('second', TIMESTAMP '1970-01-01', ts) - CASE WHEN event_id % 13 = 0 THEN 90000 ELSE 0 END AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@query(f"SELECT repo_id, oid, t AS committer_time, depth, row_number() OVER (PARTITION BY repo_id ORDER BY t DESC, depth, oid) - 1 AS rank, (n > 1)::BIGINT + (p2 IS NOT NULL)::BIGINT + (n % 11 = 0)::BIGINT AS n_parents FROM ({DAG})")
+def log_merges(spark, sf_dir):
+    """Merges, skewed clocks, several tips of which one is missing, and parents that are missing."""
+    events = table(spark, sf_dir, "events")
+    merged = adapters.event_merges(events)
+    tips = adapters.event_tips(events)
+    asked = tips.union(tips.selectExpr("repo_id", "sha1('nowhere') oid")).union(merged.filter("n % 17 = 0").select("repo_id", "oid"))
+    rows = log.log(merged.drop("n"), asked)
+    return rows.select("repo_id", "oid", "committer_time", F.col("depth").cast("long").alias("depth"), F.col("rank").cast("long").alias("rank"), F.size("parents").cast("long").alias("n_parents"))
+
+
 # --- trees -----------------------------------------------------------------------------------------------------------
 
 PATHS = r"""p AS (SELECT DISTINCT rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS path FROM pages WHERE rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') <> ''),
@@ -279,6 +317,14 @@ def tree_walk(spark, sf_dir):
     return trees.in_walk_order(trees.walk_trees(entries, roots)).select("path", F.col("depth").cast("long").alias("depth"), "mode", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {PATHS}, g AS (SELECT *, string_split(path, '/')[1] AS top FROM w) SELECT path, CASE WHEN is_dir THEN 'directory' ELSE 'file' END AS mode, NULL::VARCHAR AS error FROM g WHERE depth = 0 OR len(top) % 2 = 1 UNION ALL SELECT path, NULL, 'NotFound' FROM g WHERE depth = 0 AND is_dir AND len(top) % 2 = 0")
+def tree_missing(spark, sf_dir):
+    """A walk in which the trees of some folders are missing."""
+    entries, roots = _page_tree(spark, sf_dir)
+    lost = entries.filter("tree_oid = 'root' and mode = 'directory' and length(name) % 2 = 0").selectExpr("oid tree_oid")
+    return trees.walk_trees(entries.join(lost, "tree_oid", "left_anti").select(entries.columns), roots, mode="PERMISSIVE").select("path", "mode", "error")
+
+
 @query(f"WITH {PATHS} SELECT path AS name, CASE WHEN is_dir THEN 'directory' ELSE 'file' END AS mode FROM w WHERE depth = 0")
 def tree_list(spark, sf_dir):
     entries, roots = _page_tree(spark, sf_dir)
@@ -434,8 +480,8 @@ INDEXED = f"""WITH c AS (SELECT x.*, e.event_type FROM ({CHAIN}) x JOIN events e
 def _event_index(spark, sf_dir):
     """The index over events, written and opened again."""
     work, events = Workspace(spark, "events"), table(spark, sf_dir, "events")
-    commits, entries = (work.write(n, d) for n, d in zip(("commits", "entries"), adapters.event_trees(events), strict=True))
-    named = _event_refs(spark, sf_dir)
+    commits, entries = adapters.event_trees(events)
+    commits, named = work.write("commits", commits), work.write("refs", _event_refs(spark, sf_dir))
     index.write_index(index.build_index(commits, entries, named, work=work), work.at("index"))
     return index.open_index(spark, work.at("index"), named), commits
 
@@ -454,6 +500,13 @@ def index_lookup(spark, sf_dir):
     return index.might_contain(asked, rows).select("oid", "path", F.col("might_contain").alias("changed"))
 
 
+@query(f"SELECT i.*, CASE WHEN n_parents = 0 THEN 0 ELSE 2 END::BIGINT AS n_bytes FROM (SELECT repo_id, oid, committer_time, n_parents, digest FROM ({INDEXED})) i")
+def index_file(spark, sf_dir):
+    """The index as one binary file a repository, written and read again."""
+    rows = index.unpack_index(index.pack_index(_event_index(spark, sf_dir)[0]))
+    return rows.select("repo_id", "oid", "committer_time", F.size("parents").cast("long").alias("n_parents"), F.col("ref_tips_digest").alias("digest"), F.octet_length("bloom").cast("long").alias("n_bytes"))
+
+
 # --- names -----------------------------------------------------------------------------------------------------------
 
 PATH_CASES = ["url", "'/' || url", "'C:/' || page_id", "'a//b' || page_id", "'a/../b' || page_id", "'./a' || page_id", "'a' || page_id || '/'", "'a\\b' || page_id", "'a:b/' || page_id", "''", "'src/' || page_id || '.c'", "repeat('x', 4097)"]

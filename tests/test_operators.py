@@ -156,6 +156,23 @@ def test_index_errors(spark):
     assert index.build_index(commits(spark, []), entries, none).count() == 0
 
 
+def test_index_files(spark):
+    from chronolith.functions import codec
+
+    rows = [("r", f"{i:040x}", "a" * 40, 5 - i, [f"{i + 1:040x}"] * i, ["x"] * (i > 0), codec.bloom_build(["x"] * (i > 0)), "b" * 40) for i in range(3)]
+    made = spark.createDataFrame(rows, "repo_id string, oid string, tree string, committer_time long, parents array<string>, changed_paths array<string>, bloom binary, ref_tips_digest string")
+    files = index.pack_index(made)
+    data = bytes(files.first().data)
+    assert data[:10] == b"ZIDX\1\0\3\0\0\0" and data[10:30] == b"\xbb" * 20 and len(data) == 30 + 3 * 53 + 20 * 3 + 2 * 2
+    got = index.unpack_index(files).orderBy("oid").collect()
+    assert [(r.oid, r.tree, r.committer_time, r.parents, bytes(r.bloom), r.ref_tips_digest) for r in got] == [(r[1], r[2], r[3], r[4], r[6], r[7]) for r in rows]
+    for bad in (b"", data[:-1], b"X" + data[1:], data[:4] + b"\2" + data[5:]):
+        with pytest.raises(codec.MalformedObject):
+            codec.read_index(bad)
+    with pytest.raises(Exception, match="LimitExceeded"):
+        index.pack_index(made, limit=100).collect()
+
+
 def test_malformed_commits(spark):
     t = "a" * 40
     rows = [("r", "ok", "commit", f"tree {t}\ncommitter C <c> 7 -0100\n\nm".encode()), ("r", "tree", "commit", b"tree abc\ncommitter C 1 +0\n\n"), ("r", "parent", "commit", f"tree {t}\nparent abc\ncommitter C 1 +0\n\n".encode()), ("r", "time", "commit", f"tree {t}\ncommitter C\n\n".encode()), ("r", "blank", "commit", f"tree {t}\ncommitter C 1 +0\n".encode())]
