@@ -36,8 +36,8 @@ def diff_files(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo_id
 
 
 def listings(entries: DataFrame) -> DataFrame:
-    """tree_entries -> (repo_id, at, listed): a tree as one row, as it is one object; an entry is its mode, id and name."""
-    return entries.groupBy("repo_id", F.col("tree_oid").alias("at")).agg(F.collect_list(F.concat_ws(" ", "mode", "oid", "name")).alias("listed"))
+    """tree_entries -> (repo_id, at, listed): a tree as one row, as it is one object; an entry is its mode, id and name, parted by NUL, which no name has."""
+    return entries.groupBy("repo_id", F.col("tree_oid").alias("at")).agg(F.collect_list(F.concat_ws("\0", "mode", "oid", "name")).alias("listed"))
 
 
 def diff_steps(entries: DataFrame, steps: DataFrame, work: Workspace, mode: str = "FAILFAST") -> DataFrame:
@@ -57,10 +57,10 @@ def diff_steps(entries: DataFrame, steps: DataFrame, work: Workspace, mode: str
         met = front.join(side("old"), ["repo_id", "old_at"], "left").join(side("new"), ["repo_id", "new_at"], "left")
         met = met.select("pair", "repo_id", "prefix", "old_at", "new_at", empty("old").alias("old"), empty("new").alias("new"))
         # a side that is null now is a missing tree: a row without a name, whose id takes the entry's place
-        lost = F.filter(F.array(*[F.when(F.col(x).isNull(), F.struct(F.lit(x == "old").alias("is_old"), F.concat(F.lit("- "), F.col(f"{x}_at")).alias("x"))) for x in ("old", "new")]), lambda x: x.isNotNull())
+        lost = F.filter(F.array(*[F.when(F.col(x).isNull(), F.struct(F.lit(x == "old").alias("is_old"), F.concat(F.lit("-\0"), F.col(f"{x}_at")).alias("x"))) for x in ("old", "new")]), lambda x: x.isNotNull())
         met = met.withColumn("lost", lost).withColumn("old", F.coalesce("old", none)).withColumn("new", F.coalesce("new", none))
         rows = met.select("pair", "repo_id", "prefix", F.explode(F.concat(one("old", "new"), one("new", "old"), "lost")).alias("e"))
-        part = F.split("e.x", " ", 3)
+        part = F.split("e.x", "\0", 3)
         rows = rows.select("pair", "repo_id", "prefix", "e.is_old", F.get(part, F.lit(0)).alias("mode"), F.get(part, F.lit(1)).alias("oid"), F.get(part, F.lit(2)).alias("name"))
         of = lambda old, c: F.max(F.when(F.col("is_old") == old, F.col(c)))
         level = rows.groupBy("pair", "repo_id", "prefix", "name", (F.col("mode") == "directory").alias("is_dir")).agg(of(True, "mode").alias("old_mode"), of(True, "oid").alias("old_oid"), of(False, "mode").alias("new_mode"), of(False, "oid").alias("new_oid"))
