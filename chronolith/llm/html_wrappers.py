@@ -3,20 +3,30 @@
 A page is a stream of block tags and texts (inline tags vanish, scripts, styles and comments too). Streams of one host
 are folded into a wrapper, a union-free regular expression: adjacent equal structures become a repeated group, and
 another page is aligned with the wrapper so far, where a tag that only one side has becomes an optional group, a
-structure that repeats on either side a repeated group, and texts that differ a slot. The wrapper names the content:
-the article or main element where the host has one, else the element below which most of the slots' text lies; within
-it, texts other than paragraphs and headings that never differ over at least SURE pages with differing content are the
-host's own words and are left out. A page is then read along its host's wrapper; where the named content does not occur
-in it, along the wrapper of the page itself.
+structure that repeats on either side a repeated group, and texts that differ a slot. A slot keeps, in at most COUNTED
+counters (a mergeable summary of frequent values), which texts come again on how many pages.
+
+What is content is decided on the wrapper, from all pages of the host:
+* its place: the article or main element that holds enough of the characters that vary and are no links; else the way
+  down along the elements with most of those characters, with the headings and paragraphs that stand beside them;
+* the host's own words: texts at one place of the wrapper, in any tag but section headings, that come on at least SURE
+  pages and a SHARE of the pages that have the place, unless that would be most of the content (copies of one page);
+* lists of links beside the content, where no article or main element bounds it;
+* chrome: elements that HTML itself names so (nav, footer, aside, form, ...), roles, hidden parts, and, as a hint for what
+  varies within the content, words in classes and ids, which never exclude an element that holds most of the text.
+Each page is then matched with the expression: its children are aligned with the groups, and a text is read if the group
+it falls to is content and the text is not the host's own. What matches no group is judged by itself; a page in which
+the content's groups do not occur is read along the wrapper of that page alone.
 
 All pages of a host make its wrapper: each task folds the pages that it reads into a partial wrapper a host, and the
 partial ones are joined within PARTS salted parts of a host, then those. An element with more than MANY parts loses
-their order (one group for each tag and class, or for each tag beyond MANY of those), so that wrappers stay small; equal
-pages count once. How pages are aligned may depend on which of them are folded first. Every page is extracted, whole.
-Wrappers go to the pages by broadcast while they take at most BROADCAST_BYTES together, by a shuffled join beyond that.
+their order (one group for each tag and class, or for each tag beyond MANY of those), so that wrappers stay small. How
+pages are aligned may depend on which of them are folded first. Every page is extracted, whole. Wrappers go to the pages
+by broadcast while they take at most BROADCAST_BYTES together, by a salted join beyond that.
 
 Null and empty pages have an empty text; pages with a null or odd url form one host. Repeated rows each get a row. Text
-outside any tag counts as a block. Extra columns are ignored.
+outside any tag counts as a block. Blocks nested deeper than DEEP are read as blocks of the last element within. A tag
+that never ends is text; time and memory go with a page's length, whatever it holds. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,32 +35,39 @@ import html
 import json
 import pickle
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import PARTS, Workspace, table
 
-SURE = 3
+SURE, SHARE = 3, 0.95
 BROADCAST_BYTES = 32 << 20
 #: Parts of an element that are kept in their order.
 MANY = 256
+#: Texts of a slot that are counted; what comes more often than 1 / COUNTED of all its texts is always among them.
+COUNTED = 256
+#: Levels of blocks.
+DEEP = 64
 #: Characters of first pages of hosts after which a task hands on its partial wrappers.
 HELD = 16 << 20
+#: Salts of a host where wrappers are joined by shuffle.
+SALTS = 32
 
 OUT = "page_id long, url string, text string, n_chars long"
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: The inside of a tag: a quote counts after an equals sign only.
+INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+ATTRIBUTE = re.compile(r"""([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?""")
+ASKED = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
+#: Elements whose inside is no text of the page; of the first two, what is never closed goes on to the end.
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE) for t in "script style noscript template svg iframe textarea select object math xmp noembed noframes".split()}
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -66,99 +83,192 @@ WORDS_OF_CHROME = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What may be named as the content where no article or main element is.
 CONTAINERS = frozenset("html body div section center".split())
 TEXT = "#"
 
 
+class Leaf:
+    """A text of a page; linked: how many of its characters are in links."""
+
+    __slots__ = ("linked", "text")
+    key = TEXT
+
+    def __init__(self, text: str, linked: int = 0):
+        self.text, self.linked = text, linked
+
+
 class Node:
     """An element of a page: its key (tag and class), whether it is chrome (soft: by its class or id alone), and its children."""
 
-    __slots__ = ("chrome", "children", "key", "main", "soft", "tag")
+    __slots__ = ("children", "chrome", "key", "main", "soft", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.key, self.children = tag, tag, []
         self.chrome, self.main, self.soft = tag in DROPPED, tag in ("article", "main"), False
-        if attributes:
-            for name, value in ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), value.strip("\"'").lower()
-                if name == "role":
-                    self.chrome |= value in ROLES
-                    self.main |= value in ("main", "article")
-                elif name in ("class", "id"):
-                    self.soft |= bool(WORDS_OF_CHROME.search(value)) and tag not in ("body", "html")
-                    if name == "class" and value:
-                        self.key = f"{tag}.{'.'.join(sorted(value.split()))}"
-                elif name == "style":
-                    self.chrome |= "display:none" in value.replace(" ", "")
-                else:
-                    self.chrome |= value != "false"
+        if not attributes or attributes.isspace():
+            return
+        for name, value in ATTRIBUTE.findall(attributes):
+            if (name := name.lower()) not in ASKED:
+                continue
+            value = value.strip("\"'").lower()
+            if name == "role":
+                self.chrome |= value in ROLES
+                self.main |= value in ("main", "article")
+            elif name in ("class", "id"):
+                self.soft |= bool(WORDS_OF_CHROME.search(value)) and tag not in ("body", "html")
+                if name == "class" and value:
+                    self.key = f"{tag}.{'.'.join(sorted(value.split()))}"
+            elif name == "style":
+                self.chrome |= "display:none" in value.replace(" ", "")
+            else:
+                self.chrome |= value != "false"
+
+
+class Tree:
+    """Builds the elements of a page, with tags that are left open or closed twice put right."""
+
+    def __init__(self) -> None:
+        self.root = Node(":")
+        self.stack, self.into, self.open = [self.root], [self.root], Counter()
+        self.waiting: list[str] = []
+        self.size = self.linked = self.mains = 0
+        self.in_link = False
+
+    def text(self, piece: str) -> None:
+        self.waiting.append(piece)
+        self.size += len(piece)
+        if self.in_link:
+            self.linked += len(piece)
+
+    def flush(self) -> None:
+        if self.waiting:
+            text = " ".join(html.unescape("".join(self.waiting)).split())
+            if text:
+                self.into[-1].children.append(Leaf(text, len(text) * self.linked // max(1, self.size)))
+            self.waiting.clear()
+            self.size = self.linked = 0
+
+    def cut(self, i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        for n in self.stack[i:]:
+            self.open[n.tag] -= 1
+            self.mains -= n.main
+        del self.stack[i:], self.into[i:]
+
+    def tag(self, tag: str, attributes: str, closing: bool) -> None:
+        if tag not in BLOCKS:
+            if tag == "a":
+                self.in_link = not closing
+            elif tag in VOID:
+                self.waiting.append(" ")
+            return
+        self.flush()
+        if closing:
+            if self.open[tag]:
+                self.cut(max(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag) if self.stack[-1].tag != tag else len(self.stack) - 1)
+            return
+        if tag != "html" and self.stack[-1].tag == "p":  # a paragraph holds no blocks
+            self.cut(len(self.stack) - 1)
+        ends = ENDS.get(tag, ())
+        if any(self.open[e] for e in ends):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in ends:
+                    self.cut(i)
+                    break
+                if self.stack[i].tag in LISTS:
+                    break
+        node = Node(tag, attributes)
+        if node.main and not self.mains:  # no class makes an outermost article chrome
+            node.soft = False
+        into = node
+        if len(self.stack) >= DEEP and not node.chrome and not node.soft:
+            into = self.into[-1]
+        elif len(self.stack) < DEEP or not (self.into[-1].chrome or self.into[-1].soft):
+            self.into[-1].children.append(node)
+        else:
+            into = self.into[-1]
+        if not attributes.endswith("/"):
+            self.stack.append(node)
+            self.into.append(into)
+            self.open[tag] += 1
+            self.mains += node.main
 
 
 def parse(page: str) -> Node:
-    """The page's elements, with tags that are left open or closed twice put right."""
-    root = Node(":")
-    stack, waiting, at = [root], [], 0
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(waiting)).split())
-        waiting.clear()
-        if text:
-            stack[-1].children.append(text)
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            waiting.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            continue  # scripts, comments and the like
-        tag = m[3].lower()
-        if tag not in BLOCKS:
-            if tag in VOID:
-                waiting.append(" ")
+    """The page's elements. Every character is looked at a bounded number of times."""
+    tree, at, n, strict, last, never = Tree(), 0, len(page), True, page.rfind(">"), set()
+    while (lt := page.find("<", at)) >= 0:
+        if lt > at:
+            tree.text(page[at:lt])
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            end, size = (page.find("-->", lt + 4), 3) if page.startswith("<!--", lt) else (page.find("]]>", lt + 9), 3) if page.startswith("<![CDATA[", lt) else (page.find(">", lt), 1)
+            at = n if end < 0 else end + size
             continue
-        flush()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if lt > last:  # no tag ends any more
+            at = lt
+            break
+        closing = after == "/"
+        name = NAME.match(page, lt + 1 + closing)
+        if name is None:
+            tree.text("<")
+            at = lt + 1
             continue
-        if tag != "html" and stack[-1].tag == "p":  # a paragraph holds no blocks
-            stack.pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ENDS.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in LISTS:
+        end = INSIDE.match(page, name.end()).end() if strict else n
+        if end >= n:  # not closed with its quotes heeded, so quotes count no more on this page
+            strict, end = False, page.find(">", name.end())
+        tag, attributes, at = name[0].lower(), page[name.end() : end], end + 1
+        if not closing and tag in RAW and tag not in never:
+            if close := RAW[tag].search(page, at):
+                end = page.find(">", close.end())
+                at = n if end < 0 else end + 1
+                continue
+            if tag in ("script", "style"):
+                at = n
                 break
-        node = Node(tag, m[4])
-        if node.main and not any(n.main for n in stack):  # no class makes an outermost article chrome
-            node.soft = False
-        stack[-1].children.append(node)
-        if not m[4].endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        waiting.append(page[at:])
-    flush()
-    return root
+            never.add(tag)
+        tree.tag(tag, attributes, closing)
+    if at < n:
+        tree.text(page[at:])
+    tree.flush()
+    return tree.root
 
 
 class Group:
-    """Part of a wrapper: an element, or a text (key TEXT); optional, repeated, or both."""
+    """Part of a wrapper: an element, or a text (key TEXT); optional, repeated, or one of a run that repeats as a whole (loop)."""
 
-    __slots__ = ("chrome", "key", "kids", "loose", "main", "mass", "optional", "repeated", "seen", "soft", "text")
+    __slots__ = ("chrome", "key", "kids", "linked", "loop", "lost", "main", "mass", "optional", "pages", "repeated", "soft", "text", "texts")
 
-    def __init__(self, key: str, chrome: bool = False, main: bool = False):
-        self.key, self.chrome, self.main, self.kids = key, chrome, main, []
-        self.optional = self.repeated = False
+    def __init__(self, key: str, chrome: bool = False, main: bool = False, soft: bool = False):
+        self.key, self.chrome, self.main, self.soft, self.kids = key, chrome, main, soft, []
+        self.optional = self.repeated = self.loop = False
         self.text: str | None = None  # of texts: what all pages have; None is a slot
-        self.mass, self.loose, self.soft = 0, False, False  # loose: the kids have no order
-        self.seen: frozenset[int] = frozenset()  # marks of up to SURE different pages
+        self.texts: dict[int, int] = {}  # of texts: marks of those that come again, and on how many pages at least
+        self.mass, self.linked, self.pages, self.lost = 0, 0, 1, 0  # lost: by how much counts of texts may be too low
+
+    @property
+    def tag(self) -> str:
+        return self.key.split(".")[0]
 
     def __str__(self) -> str:
-        inner = ("#PCDATA" if self.text is None else self.text) if self.key == TEXT else f"<{self.key}>{''.join(map(str, self.kids))}</>"
-        return f"({inner})+?" if self.optional and self.repeated else f"({inner})+" if self.repeated else f"({inner})?" if self.optional else inner
+        """The expression."""
+        if self.key == TEXT:
+            return "#PCDATA" if self.text is None else self.text
+        out, run = [], []
+        for k in [*self.kids, None]:
+            if run and (k is None or not k.loop):
+                out.append(f"({''.join(f'({x})?' for x in run)})+")
+                run = []
+            if k is not None:
+                (run if k.loop else out).append(str(k) if k.loop else f"({k}){'+' * k.repeated}{'?' * k.optional}" if k.optional or k.repeated else str(k))
+        return f"<{self.key}>{''.join(out)}</>"
+
+
+def mark(text: str) -> int:
+    """A text's hash, its length in the lowest 20 bits."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) & ~0xFFFFF | min(len(text), 0xFFFFF)
 
 
 def any_class(key: str) -> str:
@@ -166,14 +276,14 @@ def any_class(key: str) -> str:
 
 
 def loosened(kids: list[Group], same_page: bool) -> list[Group]:
-    """One repeated, optional group for each key, or for each tag where there are over MANY keys."""
+    """One group for each key, or for each tag where there are over MANY keys, in a run that repeats."""
     out: dict[str, Group] = {}
     for wide in (False, True):
         for k in kids:
             key = any_class(k.key) if wide or any_class(k.key) in out else k.key
             if key in out:
                 k = joined(out[key], k, same_page)
-            k.key, k.optional, k.repeated = key, True, True
+            k.key, k.loop = key, True
             out[key] = k
         if len(out) <= MANY:
             break
@@ -181,166 +291,259 @@ def loosened(kids: list[Group], same_page: bool) -> list[Group]:
     return list(out.values())
 
 
-def fold(node: Node | str, mark: int = 0) -> Group:
-    """The wrapper of one page, adjacent equal structures being one repeated group. mark tells the page from others."""
-    if isinstance(node, str):
+def fold(node: Node | Leaf) -> Group:
+    """The wrapper of one page, adjacent equal structures being one repeated group."""
+    if isinstance(node, Leaf):
         leaf = Group(TEXT)
-        leaf.text, leaf.mass, leaf.seen = node, len(node), frozenset((mark,))
+        leaf.text, leaf.mass, leaf.linked, leaf.texts = node.text, len(node.text), node.linked, {mark(node.text): 1}
         return leaf
-    out = Group(node.key, node.chrome, node.main)
-    out.seen, out.soft = frozenset((mark,)), node.soft
-    for kid in node.children:
-        part = fold(kid, mark)
-        if out.kids and out.kids[-1].key == part.key:
-            out.kids[-1] = joined(out.kids[-1], part, same_page=True)
-            out.kids[-1].repeated = True
+    out = Group(node.key, node.chrome, node.main, node.soft)
+    kids = out.kids
+    for child in node.children:
+        part = fold(child)
+        if kids and kids[-1].key == part.key:
+            kids[-1] = joined(kids[-1], part, True)
+            kids[-1].repeated = True
         else:
-            out.kids.append(part)
-        # a group of two parts that comes again right after itself
-        if len(out.kids) >= 4 and [k.key for k in out.kids[-4:-2]] == [k.key for k in out.kids[-2:]]:
-            pair = [joined(a, b, same_page=True) for a, b in zip(out.kids[-4:-2], out.kids[-2:], strict=True)]
+            kids.append(part)
+        # two parts that come again right after themselves are a run that repeats
+        if len(kids) >= 4 and kids[-4].key == kids[-2].key and kids[-3].key == kids[-1].key:
+            pair = [joined(x, y, True) for x, y in zip(kids[-4:-2], kids[-2:], strict=True)]
             for k in pair:
-                k.repeated = True
-            out.kids[-4:] = pair
-    if len(out.kids) > MANY:
-        out.kids, out.loose = loosened(out.kids, True), True
-    out.mass = sum(k.mass for k in out.kids)
+                k.loop = True
+            kids[-4:] = pair
+    if len(kids) > MANY:
+        out.kids = loosened(kids, True)
+    out.mass, out.linked = sum(k.mass for k in out.kids), sum(k.linked for k in out.kids)
     return out
 
 
-def joined(a: Group, b: Group, same_page: bool = False) -> Group:
-    """The least wrapper that both match: mismatches become optional or repeated groups and slots."""
-    out = Group(a.key, a.chrome and b.chrome, a.main or b.main)
-    out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
-    out.seen = a.seen if a.seen >= b.seen else frozenset(sorted(a.seen | b.seen)[:SURE])
-    out.mass, out.soft = a.mass + b.mass, a.soft and b.soft
-    if a.key == TEXT:
-        out.text = a.text if a.text == b.text else None
-        return out
-    if a.loose or b.loose:
-        out.kids, out.loose = loosened([*a.kids, *b.kids], same_page), True
-        return out
-    n, m = len(a.kids), len(b.kids)
+def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
+    """Positions of two key sequences side by side: a longest common subsequence, and what only one has (a's first)."""
+    n, m = len(a), len(b)
+    if a == b:
+        return [(i, i) for i in range(n)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a.kids[i].key == b.kids[j].key else max(best[i + 1][j], best[i][j + 1])
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    out: list[tuple[int | None, int | None]] = []
     i = j = 0
     while i < n or j < m:
-        if i < n and j < m and a.kids[i].key == b.kids[j].key:
-            kid, i, j = joined(a.kids[i], b.kids[j], same_page), i + 1, j + 1
+        if i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            out.append((i, None))
+            i += 1
         else:
-            left = j == m or i < n and best[i + 1][j] >= best[i][j + 1]
-            kid = a.kids[i] if left else b.kids[j]
+            out.append((None, j))
+            j += 1
+    return out
+
+
+def joined(a: Group, b: Group, same_page: bool = False) -> Group:
+    """The least wrapper that both match: mismatches become optional or repeated groups and slots. a and b are used up."""
+    out = Group(a.key, a.chrome and b.chrome, a.main or b.main, a.soft and b.soft)
+    out.optional, out.repeated, out.loop = a.optional or b.optional, a.repeated or b.repeated, a.loop or b.loop
+    out.mass, out.linked, out.pages = a.mass + b.mass, a.linked + b.linked, max(a.pages, b.pages) if same_page else a.pages + b.pages
+    if a.key == TEXT:
+        out.text = a.text if a.text == b.text else None
+        few, out.texts = sorted((a.texts, b.texts), key=len)
+        out.lost = a.lost + b.lost
+        for h, c in few.items():
+            out.texts[h] = max(out.texts.get(h, 0), c) if same_page else out.texts.get(h, 0) + c
+        if len(out.texts) > 2 * COUNTED:
+            less = sorted(out.texts.values(), reverse=True)[COUNTED]
+            out.texts, out.lost = {h: c - less for h, c in out.texts.items() if c > less}, out.lost + less
+        return out
+    if len(a.kids) > MANY or len(b.kids) > MANY or any(k.key.endswith(".*") for k in (*a.kids[:1], *b.kids[:1])):
+        out.kids = loosened([*a.kids, *b.kids], same_page)
+        return out
+    for i, j in aligned([k.key for k in a.kids], [k.key for k in b.kids]):
+        if i is not None and j is not None:
+            kid = joined(a.kids[i], b.kids[j], same_page)
+        else:
+            kid = a.kids[i] if i is not None else b.kids[j]
             kid.optional = True
-            i, j = i + left, j + (not left)
         if out.kids and out.kids[-1].key == kid.key:  # optional and present parts of one kind beside each other
-            kid = joined(out.kids.pop(), kid, same_page=True)
-            kid.repeated = True
+            kid = joined(out.kids.pop(), kid, same_page)
+            kid.repeated, kid.pages = True, min(kid.pages, out.pages)
         out.kids.append(kid)
     if len(out.kids) > MANY:
-        out.kids, out.loose = loosened(out.kids, same_page), True
+        out.kids = loosened(out.kids, same_page)
+    elif loops := [i for i, k in enumerate(out.kids) if k.loop]:
+        for k in out.kids[loops[0] : loops[-1]]:
+            k.loop = True
     return out
 
 
-def content_path(wrapper: Group) -> list[str]:
-    """Keys from the root to the content. The class list excludes no element with most of the slots' text."""
+#: What a group means for reading: outside or plain, where content begins, left out.
+PLAIN, CONTENT, LEFT_OUT = 0, 1, 2
 
-    def held(g: Group) -> int:
-        """Characters of the slots, whatever their classes; of a single page, of all texts."""
-        if g.chrome or g.key == TEXT:
-            return 0 if g.chrome or g.text is not None and len(wrapper.seen) > 1 else g.mass
-        return sum(map(held, g.kids))
 
-    most = 0.6 * held(wrapper)
+class Place:
+    """A group as pages are read along it: its meaning, the marks of the host's own words, the groups below."""
 
-    def chrome(g: Group) -> bool:
-        return g.chrome or g.soft and held(g) <= most
+    __slots__ = ("at", "key", "kids", "own", "state", "wide")
 
-    def find(g: Group, path: list[str]) -> tuple[int, list[str]] | None:
-        if chrome(g):
-            return None
-        if g.main and g.mass:
-            return g.mass, path
-        return max((x for k in g.kids if k.key != TEXT and (x := find(k, [*path, k.key]))), key=lambda x: x[0], default=None)
-
-    def slots(g: Group) -> int:
-        """Characters of the slots outside chrome; of a single page, of all texts."""
-        if chrome(g) or g.key == TEXT:
-            return 0 if chrome(g) or g.text is not None and len(wrapper.seen) > 1 else g.mass
-        return sum(map(slots, g.kids))
+    def __init__(self, key: str, state: int, own: list[int], kids: list):
+        self.key, self.state, self.own, self.kids = key, state, frozenset(own), [Place(*k) for k in kids]
+        self.at: dict[str, int] = {}
+        for i, k in enumerate(self.kids):
+            self.at.setdefault(k.key, i)
+        self.wide = any(k.key.endswith(".*") for k in self.kids)
 
-    if named := find(wrapper, []):
-        return named[1]
-    at, path = wrapper, []
-    while True:
-        total = slots(at)
-        heavy = [k for k in at.kids if k.key != TEXT and k.key.split(".")[0] in CONTAINERS and slots(k) > 0.6 * total]
-        if not heavy or not total:
-            return path
-        at = heavy[0]
-        path.append(at.key)
 
+def decided(wrapper: Group) -> list:
+    """[key, state, own words, groups below] of every group: what is content, as the module says."""
+    alone = wrapper.pages < 2
+    plain: dict[int, int] = {}
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of same-host pages as {wrapper, path, own}: its text form, the content's path, the host's own words there."""
-    return described(reduce(joined, map(whole, pages)))
+    def varying(g: Group, links: bool = False) -> int:
+        """Characters outside chrome and links, but of texts that are the same on several pages."""
+        if g.key == TEXT:
+            return 0 if g.text is not None and g.pages > 1 else g.mass - (0 if links else g.linked)
+        if g.chrome:
+            return 0
+        got = sum(varying(k, links) for k in g.kids)
+        if not links:
+            plain[id(g)] = got
+        return got
 
+    total = varying(wrapper)
 
-def whole(page: str) -> Group:
-    """The wrapper of one page."""
-    return fold(parse(page), zlib.crc32(page.encode("utf-8", "surrogatepass")))
-
+    def chrome(g: Group) -> bool:
+        return g.chrome or g.soft and plain.get(id(g), 0) <= 0.6 * total
 
-def described(wrapper: Group) -> dict:
-    path, own = content_path(wrapper), []
-    at: Group | None = wrapper
-    for key in path:
-        at = next((k for k in at.kids if k.key == key), None) if at else None
+    def named(g: Group) -> Group | None:
+        """The article or main element with most varying characters, outermost ones first."""
+        if g.key == TEXT or chrome(g):
+            return None
+        if g.main and g.mass:
+            return g
+        return max((x for k in g.kids if (x := named(k))), key=lambda x: plain.get(id(x), 0), default=None)
 
-    def constants(g: Group) -> None:
+    roots: list[Group] = []
+    bounded = named(wrapper)
+    if bounded is not None and plain.get(id(bounded), 0) >= 0.3 * total:
+        roots.append(bounded)
+    else:
+        at, bounded = wrapper, None
+        while True:
+            here = plain.get(id(at), 0)
+            heavy = next((k for k in at.kids if k.key != TEXT and k.tag in CONTAINERS and not chrome(k) and plain.get(id(k), 0) > 0.6 * here), None)
+            if heavy is None or not here:
+                roots.append(at)
+                break
+            roots += [k for k in at.kids if k.key != TEXT and k.tag in PROSE and not chrome(k) and plain.get(id(k), 0)]
+            at = heavy
+    content = {id(g) for g in roots}
+
+    def repeats(g: Group, tag: str, cap: int) -> list[int]:
+        pages = min(g.pages, cap)
+        return [h for h, c in g.texts.items() if c >= SURE and c >= pages / 2 and c + g.lost >= SHARE * pages] if tag not in HEADINGS or tag == "h1" else []
+
+    def gathered(g: Group, inside: bool, cap: int) -> tuple[int, int]:
+        """Characters of the content, and of those what the host's own words take."""
+        cap, inside = min(cap, g.pages), inside or id(g) in content
+        mass = own = 0
         for k in g.kids:
-            if k.key != TEXT:
-                constants(k)
-            elif k.text is not None and len(k.seen) >= SURE and not k.optional and g.key.split(".")[0] not in PROSE:
-                own.append([g.key, k.text])
-
-    def differs(g: Group) -> bool:
-        return g.text is None if g.key == TEXT else any(map(differs, g.kids))
-
-    if at is not None and differs(at):
-        constants(at)
-    return {"wrapper": str(wrapper), "path": path, "own": own}
-
-
-def extract(page: str | None, wrapper: dict | None) -> str:
-    """The page's main text: blocks in page order, one a line."""
+            if k.key == TEXT:
+                if inside:
+                    mass += k.mass
+                    own += sum((h & 0xFFFFF) * k.texts[h] for h in repeats(k, g.tag, cap))
+            elif not (k.chrome or k.soft if inside else chrome(k)):
+                more = gathered(k, inside, cap)
+                mass, own = mass + more[0], own + more[1]
+        return mass, own
+
+    mass, own = gathered(wrapper, False, wrapper.pages)
+    marked = not alone and own <= 0.5 * mass
+
+    def made(g: Group, tag: str, inside: bool, cap: int) -> list:
+        if g.key == TEXT:
+            return [TEXT, PLAIN, repeats(g, tag, cap) if inside and marked else [], []]
+        begins = id(g) in content
+        links = inside and bounded is None and not begins and g.tag not in PROSE and g.mass and g.linked >= 0.8 * g.mass and g.pages >= SURE
+        if not begins and (links or (g.chrome or g.soft if inside else chrome(g))):
+            return [g.key, LEFT_OUT, [], []]
+        inside, cap = inside or begins, min(cap, g.pages)
+        kids = [made(k, g.tag, inside, cap) for k in g.kids]
+        if not inside and all(k[0] == TEXT or k[1] == PLAIN and not k[3] for k in kids):
+            kids = []  # nothing to read below
+        return [g.key, CONTENT if begins else PLAIN, [], kids]
+
+    return made(wrapper, "", False, wrapper.pages)
+
+
+def placed(children: list, place: Place | None) -> list[Place | None]:
+    """The group of each child: runs of equal keys aligned with the groups, then what is left by key alone."""
+    if place is None or not place.kids:
+        return [None] * len(children)
+    runs: list[str] = []
+    of: list[int] = []
+    for c in children:
+        key = c.key
+        if place.wide and key not in place.at and any_class(key) in place.at:
+            key = any_class(key)
+        if not runs or runs[-1] != key:
+            runs.append(key)
+        of.append(len(runs) - 1)
+    keys = [k.key for k in place.kids]
+    got: list[Place | None] = [place.kids[place.at[r]] if r in place.at else None for r in runs]
+    if len(runs) * len(keys) <= MANY * MANY:
+        for i, j in aligned(runs, keys):
+            if i is not None and j is not None:
+                got[i] = place.kids[j]
+    return [got[i] for i in of]
+
+
+def read(node: Node, place: Place | None) -> tuple[list[tuple[str, bool]], bool]:
+    """(text, whether it is the host's own) of the content's texts in page order, and whether any content was met."""
+    out: list[tuple[str, bool]] = []
+    met = False
+
+    def below(node: Node, place: Place | None, inside: bool, heading: bool) -> None:
+        nonlocal met
+        for child, at in zip(node.children, placed(node.children, place), strict=True):
+            if isinstance(child, Leaf):
+                if inside and (not heading or node.tag in HEADINGS):
+                    out.append((child.text, at is not None and bool(at.own) and mark(child.text) in at.own))
+            elif at is None:
+                if inside and not child.chrome and not child.soft:
+                    below(child, None, True, heading or child.tag == "header")
+            elif at.state != LEFT_OUT and not child.chrome:
+                met |= at.state == CONTENT
+                if inside or at.state == CONTENT or at.kids:
+                    below(child, at, inside or at.state == CONTENT, heading or child.tag == "header")
+
+    begins = place is not None and place.state == CONTENT
+    met = begins
+    below(node, place, begins, False)
+    return out, met
+
+
+def extract(page: str | None, place: Place | None) -> str:
+    """The page's main text: blocks in page order, one a line. place: the host's wrapper, if there is one."""
     if not page:
         return ""
     root = parse(page)
+    out, met = read(root, place) if place is not None else ([], False)
+    if not met or not out:
+        out, _ = read(root, Place(*decided(fold(root))))
+    return "\n".join([t for t, own in out if not own] or [t for t, _ in out])
 
-    def at(node: Node, path: list[str]) -> list[Node]:
-        return [node] if not path else [x for k in node.children if not isinstance(k, str) and path[0] in (k.key, any_class(k.key)) for x in at(k, path[1:])]
 
-    own: set[tuple[str, str]] = set()
-    found = at(root, wrapper["path"]) if wrapper and wrapper["path"] else []
-    if found:
-        own = {(key, text) for key, text in wrapper["own"]}
-    else:
-        found = at(root, content_path(fold(root))) or [root]
-    out: list[str] = []
+def whole(page: str) -> Group:
+    """The wrapper of one page."""
+    return fold(parse(page))
 
-    def read(node: Node, heading: bool) -> None:
-        for k in node.children:
-            if isinstance(k, str):
-                if (node.key, k) not in own and (not heading or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
-                    out.append(k)
-            elif not k.chrome and not k.soft:
-                read(k, heading or k.tag == "header")
 
-    for node in found:
-        read(node, False)
-    return "\n".join(out)
+def infer(pages: list[str]) -> Group:
+    """The wrapper of same-host pages."""
+    return reduce(joined, map(whole, pages))
 
 
 def host_of(url: Column) -> Column:
@@ -378,9 +581,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": [key[0].as_py()], "part": pa.array([pickle.dumps(together(rows))], pa.binary())})
 
     def each(key: tuple, rows: pa.Table) -> pa.Table:
-        found = described(together(rows))
-        expression = found.pop("wrapper")
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(found)], "expression": [expression]})
+        wrapper = together(rows)
+        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(decided(wrapper))], "expression": [str(wrapper)]})
 
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").filter("html <> ''").mapInArrow(partial, "host string, part binary")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(PARTS))).groupBy("host", "salt").applyInArrow(meet, "host string, part binary")
@@ -390,24 +592,32 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, work: Workspace | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     work = work or Workspace(pages.sparkSession, "wrappers")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     inferred = work.write("wrappers", wrappers(pages)).select("host", "wrapper")
     total = inferred.select(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    joined_ = pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(inferred) if total <= BROADCAST_BYTES else inferred, "host", "left").drop("host")
+    if total <= BROADCAST_BYTES:
+        met = pages.join(F.broadcast(inferred), "host", "left")
+    else:  # a host with a third of all pages meets its wrapper in SALTS places
+        spread = inferred.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, dict] = {}
+        places: dict[str, Place] = {}
+        size = 0
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if wrapper is not None and wrapper not in read:
-                    if len(read) > 10_000:
-                        read.clear()
-                    read[wrapper] = json.loads(wrapper)
-                texts.append(extract(page.as_py(), read.get(wrapper)))
+            for page, wrapper in zip(batch.column(2), batch.column(3), strict=True):
+                wrapper = wrapper.as_py()
+                if wrapper is not None and wrapper not in places:
+                    if size > HELD:
+                        places.clear()
+                        size = 0
+                    places[wrapper] = Place(*json.loads(wrapper))
+                    size += len(wrapper)
+                texts.append(extract(page.as_py(), places.get(wrapper)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined_.select("page_id", "url", "html", "wrapper").mapInArrow(each, OUT)
+    return met.select("page_id", "url", "html", "wrapper").mapInArrow(each, OUT)
 
 
 def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
