@@ -1,18 +1,21 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of WORDS words, all of them. Each passage is encoded from how it is written (lengths,
-repetition, letter case, symbols, separators) by a learned layer; gated attention, learned from document labels alone,
-weighs the passages, and a logistic unit scores the weighted sum. So one bad stretch in a long text can decide.
+A document is a bag of passages of WORDS words, all of them. A learned layer encodes each passage from its words (the
+mean of learned vectors of the word, its first and last three characters and its shape, each hashed to one of BUCKETS)
+and from how it is written (lengths, repetition, letter case, symbols, separators); gated attention, learned from
+document labels alone, weighs the passages, and a logistic unit scores the weighted sum. So one bad stretch in a long
+text can decide.
 
 The sample is bounded by PER_CLASS rows of each label of at most CHARS characters (held-out rows never enter); the
-networks are fitted at the driver in a few seconds, whatever the size of the corpus. Whole texts are scored in one Arrow
-pass. Null, empty and blank texts are a bag of one blank passage. Without labels of both classes every score is that
-of the only class, or 0 without labels. Each input row gives one output row; extra columns are ignored.
+networks are fitted at the driver in half a minute at most, whatever the size of the corpus. Whole texts are scored in
+one Arrow pass. Null, empty and blank texts are a bag of one blank passage. Without labels of both classes every score
+is that of the only class, or 0 without labels. Each input row gives one output row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 from operator import eq
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import held_out, labelled_texts, table
+from chronolith.llm.common import held_out, labelled_texts, resident, table
 
 PER_CLASS, CHARS = 2000, 12_000
 WORDS = 48
 HIDDEN, GATES = 16, 8
+#: Learned vectors, and how many of them a word has.
+BUCKETS, PARTS_OF = 4096, 4
+#: Bytes that a worker's remembered words take, and characters of the longest one.
+REMEMBERED, LONG = 64 << 20, 64
 CUT = 0.5
 #: Passages that are scored at once.
 AT_ONCE = 8192
@@ -77,89 +84,147 @@ def passage_features(words: list[str]) -> list[float]:
 N_FEATURES = 21
 
 
-def bag(text: str | None) -> list[list[float]]:
-    """Features of every passage of a text; one blank passage if it has no words."""
+class Words:
+    """The buckets of each word's parts, two bytes each; words are looked at once."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    @staticmethod
+    def parts(word: str) -> bytes:
+        low = word.lower()
+        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24])
+        shape = "".join(c for c, _ in groupby(shape))
+        return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (low, "<" + low[:3], low[-3:] + ">", "=" + shape)], np.uint16).tobytes()
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        try:
+            raw = b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if self.size > REMEMBERED:
+                known.clear()
+                self.size = 0
+            new = {w for w in words if w not in known}
+            for w in new:
+                known[w] = self.parts(w)
+            raw = b"".join(map(known.__getitem__, words))
+            for w in new:
+                if len(w) > LONG:
+                    del known[w]
+                else:
+                    self.size += 2 * len(w) + 160
+        return np.frombuffer(raw, np.uint16).reshape(-1, PARTS_OF)
+
+
+_WORDS = Words()
+
+#: Features of every passage, the buckets of all words, and the words of each passage.
+Bag = tuple[list[list[float]], np.ndarray, list[int]]
+
+
+def bag(text: str | None, words_of: Words = _WORDS) -> Bag:
+    """All passages of a text; one blank passage if it has no words."""
     words = (text or "").split()
-    return [passage_features(words[a : a + WORDS]) for a in range(0, len(words), WORDS)] or [[0.0] * N_FEATURES]
+    passages = [words[a : a + WORDS] for a in range(0, len(words), WORDS)] or [[]]
+    return [passage_features(p) for p in passages], words_of(words), list(map(len, passages))
 
 
 class AttentionModel:
-    """Gated attention over passages: encoder W, gates V and U, attention w, output c and d."""
+    """Gated attention over passages: word vectors E, encoder W, gates V and U, attention w, output c and d."""
 
     def __init__(self, weights: dict[str, np.ndarray], mean: np.ndarray, spread: np.ndarray):
         self.p, self.mean, self.spread = weights, mean, spread
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-        """x: passages by features; starts: where each bag begins."""
-        p, sizes = self.p, np.diff(np.append(starts, len(x)))
-        owner = np.repeat(np.arange(len(starts)), sizes)
-        h = np.tanh(x @ p["W"] + p["b"])
+    @classmethod
+    def drawn(cls, rng: np.random.Generator, mean: np.ndarray, spread: np.ndarray) -> AttentionModel:
+        draw = lambda *shape: rng.normal(size=shape) / np.sqrt(shape[0])
+        weights = {"W": draw(N_FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATES), "U": draw(HIDDEN, GATES), "w": draw(GATES), "c": draw(HIDDEN), "d": np.zeros(())}
+        return cls(weights | {"E": rng.normal(size=(BUCKETS, HIDDEN)) * 0.02}, mean, spread)
+
+    def forward(self, bags: list[Bag]) -> dict[str, np.ndarray]:
+        p = self.p
+        counts = np.array([len(b[2]) for b in bags])
+        starts, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(bags)), counts)
+        x = (np.array([f for b in bags for f in b[0]]) - self.mean) / self.spread
+        ids = np.concatenate([b[1] for b in bags])
+        sizes = np.array([n for b in bags for n in b[2]])
+        some = np.flatnonzero(sizes)
+        near = np.zeros((len(sizes), HIDDEN))
+        if len(some):
+            summed = p["E"][ids.reshape(-1)].reshape(len(ids), PARTS_OF, -1).sum(axis=1)
+            near[some] = np.add.reduceat(summed, (np.cumsum(sizes) - sizes)[some], axis=0) / (PARTS_OF * sizes[some, None])
+        h = np.tanh(x @ p["W"] + p["b"] + near)
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * s) @ p["w"]
         a = np.exp(e - np.maximum.reduceat(e, starts)[owner])
         a /= np.add.reduceat(a, starts)[owner]
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
         y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
-        return {"h": h, "t": t, "s": s, "a": a, "z": z, "y": y, "owner": owner}
-
-    def score(self, bags: list[list[list[float]]]) -> np.ndarray:
-        if not bags:
-            return np.zeros(0)
-        sizes = np.array([len(b) for b in bags])
-        x = (np.array([f for b in bags for f in b]) - self.mean) / self.spread
-        return self.forward(x, np.cumsum(sizes) - sizes)["y"]
-
-
-def fit(sample: list[tuple[str, int]], epochs: int = 30, batch: int = 128, seed: int = 0) -> AttentionModel | float:
+        return {"x": x, "ids": ids, "sizes": sizes, "h": h, "t": t, "s": s, "a": a, "z": z, "y": y, "owner": owner, "starts": starts}
+
+    def loss(self, bags: list[Bag], y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Weighted mean cross entropy and its gradient."""
+        p, o = self.p, self.forward(bags)
+        h, t, s, a, owner = o["h"], o["t"], o["s"], o["a"], o["owner"]
+        dl = (o["y"] - y) * weight / len(y)
+        dz = np.outer(dl, p["c"])[owner]
+        da = (h * dz).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, o["starts"])[owner])
+        dg = np.outer(de, p["w"])
+        dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
+        dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        each = np.repeat(dh / np.maximum(1, PARTS_OF * o["sizes"])[:, None], o["sizes"], axis=0)
+        de_ = np.zeros_like(p["E"])
+        for k in range(PARTS_OF):
+            column = o["ids"][:, k]
+            for j in range(HIDDEN):
+                de_[:, j] += np.bincount(column, each[:, j], BUCKETS)
+        grad = {"W": o["x"].T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": o["z"].T @ dl, "d": dl.sum(), "E": de_}
+        right = np.where(y == 1, o["y"], 1 - o["y"])
+        return float(-(weight * np.log(np.maximum(right, 1e-12))).mean()), grad
+
+    def score(self, bags: list[Bag]) -> np.ndarray:
+        return self.forward(bags)["y"] if bags else np.zeros(0)
+
+
+def fit(sample: list[tuple[str, int]], epochs: int = 16, batch: int = 128, seed: int = 0) -> AttentionModel | float:
     """A model, or the only label there is."""
     y = np.array([label for _, label in sample], float)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.0
     rng = np.random.default_rng(seed)
-    bags = [np.array(bag(t)) for t, _ in sample]
-    every = np.concatenate(bags)
-    mean, spread = every.mean(axis=0), every.std(axis=0) + 1e-3
-    bags = [(b - mean) / spread for b in bags]
-    draw = lambda *shape: rng.normal(size=shape) / np.sqrt(shape[0])
-    p = {"W": draw(N_FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATES), "U": draw(HIDDEN, GATES), "w": draw(GATES), "c": draw(HIDDEN), "d": np.zeros(())}
-    model = AttentionModel(p, mean, spread)
+    bags = [bag(t) for t, _ in sample]
+    every = np.array([f for b in bags for f in b[0]])
+    model = AttentionModel.drawn(rng, every.mean(axis=0), every.std(axis=0) + 1e-3)
+    p = model.p
     m, v, n = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for epoch in range(epochs):
         order, rate = rng.permutation(len(bags)), 0.01 * (0.5 if epoch > epochs * 0.6 else 1)
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            sizes = np.array([len(bags[i]) for i in chosen])
-            x, starts = np.concatenate([bags[i] for i in chosen]), np.cumsum(sizes) - sizes
-            o = model.forward(x, starts)
-            h, t, s, a, owner = o["h"], o["t"], o["s"], o["a"], o["owner"]
-            dl = (o["y"] - y[chosen]) * weight[chosen] / len(chosen)
-            dz = np.outer(dl, p["c"])[owner]
-            da = (h * dz).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, starts)[owner])
-            dg = np.outer(de, p["w"])
-            dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": o["z"].T @ dl, "d": dl.sum()}
+            _, grad = model.loss([bags[i] for i in chosen], y[chosen], weight[chosen])
             n += 1
             for k, g in grad.items():
-                g = g + 1e-4 * p[k]
+                g = g + (1e-3 if k == "E" else 1e-4) * p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)
     return model
 
 
 def score_quality(docs: DataFrame, model: AttentionModel | float, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_passages per document. The model is a few hundred numbers."""
+    """doc_id, held_out, score, predicted, n_passages per document. The model has BUCKETS * HIDDEN numbers and a few hundred."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, words_of = shared.value, resident(("words",), Words)
         for batch in batches:
             bags, scores, counts, waiting = [], [], [], 0
             for value in batch.column(2):
-                bags.append(bag(value.as_py()))
-                counts.append(len(bags[-1]))
+                bags.append(bag(value.as_py(), words_of))
+                counts.append(len(bags[-1][2]))
                 waiting += counts[-1]
                 if waiting >= AT_ONCE:
                     scores += [own] * len(bags) if isinstance(own, float) else own.score(bags).tolist()
