@@ -2,8 +2,9 @@
 
 Every vertex keeps a parent f and a grandparent g, both never larger than itself. A round hooks, over each link (u, v),
 u and u's parent onto v's grandparent where that is smaller, then shortcuts g to the parent's parent. Both steps are
-joins of written tables and one minimum per vertex that is taken before the shuffle too, so that a component with a
-third of all vertices neither meets in one task nor at the driver; the number of rounds grows with the logarithm of
+joins of written tables, in which hubs and roots with more than a thousandth of the rows are broadcast (join_hot), and
+one minimum per vertex that is taken before the shuffle too, so that a component with a third of all vertices neither
+meets in one task nor at the driver; the number of rounds grows with the logarithm of
 the longest path. What comes to the driver is one row of sums a round.
 """
 
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import Workspace, sized
+from chronolith.llm.common import FEW, Workspace, join_hot, sized
 
 
-def connected_components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
+def connected_components(links: DataFrame, work: Workspace, name: str = "components", few: int = FEW) -> DataFrame:
     """links (a long, b long) -> (v, component), one row per vertex that has a link to another vertex.
 
     component is the smallest vertex that can be reached. Links to itself and links with a null end count for nothing;
@@ -31,16 +32,11 @@ def connected_components(links: DataFrame, work: Workspace, name: str = "compone
     while True:
         n += 1
         pointers = state
-        near = (
-            edges.join(pointers.selectExpr("v u", "f fu"), "u")
-            .select("u", "v", "fu")
-            .join(pointers.selectExpr("v", "g gv"), "v")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("gv").alias("f")), F.struct(F.col("fu").alias("v"), F.col("gv").alias("f")))).alias("x"))
-            .select("x.v", "x.f")
-        )
+        ends = join_hot(join_hot(edges, pointers.selectExpr("v u", "f fu"), ["u"], few=few), pointers.selectExpr("v", "g gv"), ["v"], few=few)
+        near = ends.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("gv").alias("f")), F.struct(F.col("fu").alias("v"), F.col("gv").alias("f")))).alias("x")).select("x.v", "x.f")
         own = pointers.selectExpr("v", "least(f, g) f")
         parents = work.write(f"{name}-p{n}", near.union(own).groupBy("v").agg(F.min("f").alias("f")))
-        state = work.write(f"{name}-{n}", parents.join(parents.selectExpr("v f", "f g"), "f").select("v", "f", "g"))
+        state = work.write(f"{name}-{n}", join_hot(parents, parents.selectExpr("v f", "f g"), ["f"], few=few).select("v", "f", "g"))
         sums = state.select(F.sum(F.col("f").cast("decimal(38,0)")).alias("f"), F.sum(F.col("g").cast("decimal(38,0)")).alias("g")).first()
         work.drop(f"{name}-{n - 1}")
         work.drop(f"{name}-p{n}")

@@ -6,14 +6,18 @@ float matrix product as it stays below 2^24, gives the cosine up to |s q||e'| +
 rounding. Pairs surely above the threshold are links, pairs surely below are not, and only those between are computed
 again from the full vectors in double precision.
 
-Equal vectors of a label are one class (their cosine is 1); its smallest vec_id stands for it and carries the class's
-size. Classes of a label are dealt to tiles of about TILE by hash, and each pair of tiles is multiplied in one task, so
+Equal vectors of a label are one class (their cosine is 1), which has a number of its own and carries its size and
+smallest vec_id. Classes of a label are dealt to tiles of about TILE by hash, and each pair of tiles is multiplied in one task, so
 a label with a third of all rows spreads over many. A tile pair returns, per class, how many vectors it links to, and a
 spanning forest of its links, never all pairs; components are found from the forests.
 
 A vector that is null or zero or holds null or non-finite components, or whose label is null, links with nothing and is
 its own component. Vectors of different lengths are not linked. Repeated vec_ids each get a row (rows that link with
-one another count as links, whatever their ids); a null vec_id links with nothing. An empty table gives no rows.
+one another count as links, whatever their ids, and a row's links do not pass to other rows of its id); a null vec_id
+links with nothing. An empty table gives no rows.
+
+Vectors travel to the tiles as they came (float stays float, four bytes a component) and are quantised there: pairs near
+the threshold need the full vectors, and sending those pairs elsewhere could mean all pairs of a dense group.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, FloatType, ShortType
 
-from chronolith.llm.common import Workspace, sized, table
+from chronolith.llm.common import Workspace, join_hot, sized, table
 from chronolith.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -93,7 +98,7 @@ def _tile_pair(key: tuple, table_: pa.Table) -> pa.Table:
     _, _, i, j = (k.as_py() for k in key)
     v, n, t = (np.asarray(table_.column(c)) for c in ("v", "n", "t"))
     flat = table_.column("embedding").combine_chunks()
-    vectors = np.asarray(flat.flatten()).reshape(len(v), -1)
+    vectors = np.asarray(flat.flatten(), np.float64).reshape(len(v), -1)
     first = np.flatnonzero(t == i)
     second = first if i == j else np.flatnonzero(t == j)
     out_a, out_b, count = [], [], np.zeros(len(v), np.int64)
@@ -124,13 +129,15 @@ def _tile_pair(key: tuple, table_: pa.Table) -> pa.Table:
 def embedding_links(frame: DataFrame, work: Workspace | None = None, tile: int = TILE) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     work = work or Workspace(frame.sparkSession, "quantised")
-    rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    # adding 0.0 makes the two zeros one, so that equal vectors are equal bit by bit
-    rows = rows.withColumn("embedding", F.expr("transform(embedding, x -> x + 0.0D)"))
-    fine = "vec_id is not null and label is not null and coalesce(size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0), false)"
+    kind = frame.schema["embedding"].dataType
+    of = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, (FloatType, ByteType, ShortType)) else "double"
+    rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{of}>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    # adding 0 makes the two zeros one, so that equal vectors are equal bit by bit
+    rows = rows.withColumn("embedding", F.expr(f"transform(embedding, x -> x + {of}(0))"))
+    fine = f"vec_id is not null and label is not null and coalesce(size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < {of}('Infinity')) and exists(embedding, x -> x <> 0), false)"
     rows = rows.select("vec_id", "label", "embedding", F.expr(fine).alias("fine"))
     good = rows.filter("fine")
-    classes = work.write("classes", good.groupBy("label", "embedding").agg(F.min("vec_id").alias("v"), F.count(F.lit(1)).alias("n")).selectExpr("label", "size(embedding) d", "embedding", "v", "n"))
+    classes = work.write("classes", good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).select("label", F.size("embedding").alias("d"), "embedding", F.monotonically_increasing_id().alias("v"), "first", "n"))
     sizes = work.write("sizes", classes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("m")))
     dealt = classes.join(sizes, ["label", "d"]).withColumn("tiles", F.expr(f"cast(ceil(m / {tile}) as int)"))
     dealt = dealt.withColumn("t", F.expr("cast(pmod(xxhash64(v), tiles) as int)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
@@ -138,17 +145,21 @@ def embedding_links(frame: DataFrame, work: Workspace | None = None, tile: int =
     found = work.write("found", pairs.groupBy("label", "d", "i", "j").applyInArrow(_tile_pair, TILE_OUT))
     links = work.write("links", found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
-    named = classes.join(counts, "v", "left").selectExpr("label", "embedding", "v", "n - 1 + coalesce(links, 0) n_links")
+    named = classes.join(counts, "v", "left").selectExpr("label", "embedding", "v", "first", "n - 1 + coalesce(links, 0) n_links")
     if sized(links):
-        named = named.join(connected_components(links, work), "v", "left").selectExpr("label", "embedding", "n_links", "coalesce(component, v) component_id")
+        # classes are linked by their numbers; what a component is called is its smallest vec_id
+        met = work.write("met", named.select("v", "first").join(connected_components(links, work), "v", "left").selectExpr("v", "coalesce(component, v) component", "first"))
+        least = met.groupBy("component").agg(F.min("first").alias("component_id"))
+        of_class = join_hot(met, least, ["component"]).select("v", "component_id")
+        named = named.join(of_class, "v").selectExpr("label", "embedding", "n_links", "component_id")
     else:
-        named = named.selectExpr("label", "embedding", "n_links", "v component_id")
-    named = work.write("named", named)
-    for done in ("classes", "sizes", "found", "links", "components-edges"):
-        work.drop(done)
+        named = named.selectExpr("label", "embedding", "n_links", "first component_id")
     # vectors meet their class by a hash first, then by themselves
-    key = [F.xxhash64("label", "embedding").alias("h")]
-    out = rows.filter("fine").select("vec_id", "label", "embedding", *key).join(named.select("*", *key), ["h", "label", "embedding"]).select("vec_id", "n_links", "component_id")
+    key = F.xxhash64("label", "embedding").alias("h")
+    named = work.write("named", named.select("*", key))
+    for done in ("classes", "sizes", "found", "links", "met", "components-edges"):
+        work.drop(done)
+    out = join_hot(good.select("vec_id", "label", "embedding", key), named, ["h", "label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not fine").selectExpr("vec_id", "0L n_links", "vec_id component_id")
     return out.union(alone).selectExpr("vec_id", "cast(n_links as long) n_links", "component_id", "coalesce(vec_id = component_id, true) kept")
 

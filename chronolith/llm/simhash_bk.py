@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import Workspace, sized, table
+from chronolith.llm.common import Workspace, join_hot, sized, table
 from chronolith.llm.components import connected_components
 
 RADIUS = 4
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None, row: str | N
         named = work.write("named", vertices.join(found, "v", "left").selectExpr("fp", "coalesce(component, v) component_id"))
         for done in ("vertices", "crowds", "links", "components-edges"):
             work.drop(done)
-    return prints.join(named, "fp", "left").select("doc_id", *([row] if row else []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(prints, named, ["fp"], "left").select("doc_id", *([row] if row else []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
