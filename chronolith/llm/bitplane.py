@@ -34,13 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import Workspace, table
+from chronolith.llm.common import Workspace, resident, table
 
 MAGIC = b"BPLN0001"
 BLOCK = 1 << 16
 HEADER = "<IIIQQQ"
-#: Pieces between spaces whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 1_200_000
+#: Bytes that a worker's remembered pieces take (the memory starts anew beyond it), and the length of the longest one.
+REMEMBERED, LONG = 192 << 20, 256
 #: Documents that are tokenised in one call of the library.
 TOGETHER = 1024
 
@@ -186,6 +186,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.size, self.long = 0, []
         mark = self._ids([self.MARK])
         self.mark = int(mark[0]) if len(mark) == 1 else None
         vocabulary = self.tokenizer.get_vocab()
@@ -229,6 +230,9 @@ class Pieces:
         self._marked(list(dict.fromkeys(rest)))
         for piece, core, tail in new:
             known[piece] = known[core] + known[tail]
+        for group in (pieces, letters, rest):
+            self.long += [p for p in group if len(p) > LONG]
+            self.size += sum(2 * len(p) + 128 for p in group if len(p) <= LONG)
 
     def _marked(self, pieces: list[bytes]) -> None:
         """Learns any pieces: one call for those without the mark, one each for the others."""
@@ -246,23 +250,23 @@ class Pieces:
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, four bytes each."""
         known, cut, new = self.known, [], set()
-        if len(known) > REMEMBERED:
+        if self.size > REMEMBERED:
             known.clear()
+            self.size = 0
         for raw in texts:
             cut.append((raw if b"<|" in raw or not raw.isascii() and MARKS(raw) else raw.lower()).split())
             new.update(cut[-1])
         if new := {p for p in new if p not in known}:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-_PIECES: dict[str, Pieces] = {}
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in self.long:
+            known.pop(piece, None)
+        self.long.clear()
+        return out
 
 
 def pieces_of(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return resident(("pieces", path), lambda: Pieces(path))
 
 
 def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, block: int = BLOCK, bits: bool = False) -> list[tuple[str, int, int]]:

@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm.common import table
+from chronolith.llm.common import resident, table
 
 #: Pieces of the model that stand before the vocabulary: <unk>.
 SHIFT = 1
-#: Matches that a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 400_000
+#: Bytes that a worker's remembered matches take (the memory starts anew beyond it), and characters of the longest one.
+REMEMBERED, LONG = 64 << 20, 256
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -128,6 +128,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.split = Splitter(pattern)
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def _learn(self, matches: set[str]) -> None:
         """Remembers the ids of new matches, four bytes each."""
@@ -147,22 +148,23 @@ class Codec:
         try:
             return b"".join(map(self.known.__getitem__, matches))
         except KeyError:
-            if len(self.known) > REMEMBERED:
+            if self.size > REMEMBERED:
                 self.known.clear()
-            self._learn({x for x in matches if x not in self.known})
-            return b"".join(map(self.known.__getitem__, matches))
+                self.size = 0
+            self._learn(new := {x for x in matches if x not in self.known})
+            out = b"".join(map(self.known.__getitem__, matches))
+            for x in new:
+                if len(x) > LONG:
+                    del self.known[x]
+            self.size += sum(2 * len(x) + 128 for x in new if len(x) <= LONG)
+            return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return resident(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField
 
-from chronolith.llm.common import first_of_each, held_out, table
+from chronolith.llm.common import carried, first_of_each, held_out, resident, table
 
 DOCS, CHARS = 240, 160
 #: Languages whose automata a worker holds at once.
@@ -195,9 +196,6 @@ def predicted(parsers: Iterable[Parser], texts: list[str | None]) -> list[tuple[
     return out
 
 
-_PARSERS: dict[str, Parts] = {}
-
-
 def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHARS) -> list[tuple[str, str]]:
     """(lang, passage) of rows that are not held out; at most docs_per_lang rows of each language reach the driver."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != ""))
@@ -217,10 +215,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | N
     shared, key = spark.sparkContext.broadcast(sample), str(hash(tuple(sample)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parts(shared.value)
-        parser = _PARSERS[key]
+        parser = resident(("languages", key), lambda: Parts(shared.value))
         for batch in batches:
             texts, found, taken = batch.column(0), [], []
             size = 0
@@ -239,8 +234,8 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | N
         frame = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
         return frame.mapInArrow(each, OUT)
     frame = docs.select("text", *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(each, schema + ", lang_pred string, score double, n_phrases long")
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_phrases", LongType())]
+    return frame.mapInArrow(each, carried(frame, frame.columns, *made))
 
 
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from chronolith.llm.common import table
+from chronolith.llm.common import carried, table
 
 #: Characters on either side of a weak candidate in which complementary parts count.
 WINDOW = 400
@@ -42,7 +43,7 @@ BLANK = re.compile(r"\n[\x20\t\r]*\n")
 #: role of each kind, and whether one such part is evidence by itself
 ROLE = {"assign": ("secret", True), "access": ("identifier", True), "hex": ("secret", False), "login": ("identifier", False), "opaque": ("secret", False), "endpoint": ("endpoint", False)}
 
-OUT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+OUT = [*(StructField(n, LongType()) for n in ("n_assign", "n_access", "n_hex")), StructField("base_sha256", StringType()), StructField("spans", StringType())]
 
 Span = tuple[int, int, str]
 
@@ -150,8 +151,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*first, *batch.columns[1:], *made], names=[*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     frame = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")) if keep is None else docs.select("text", *keep)
-    fields = frame.schema.fields[0 if keep is not None else 1 :]
-    return frame.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + OUT)
+    return frame.mapInArrow(each, carried(frame, frame.columns[0 if keep is not None else 1 :], *OUT))
 
 
 def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ equal run is WINDOW words or longer. As every occurring window holds a kept hash
 words of all occurring windows. Items of fewer than WINDOW words are one window, joined by the hash of all their words
 against all runs of that length.
 
-The item side is broadcast while it has at most BROADCAST_ROWS hashes (a checked bound); beyond it the join shuffles
-the documents' hashes, without their words, and comes back to the documents by their row. Hashes of one document
+The item side is broadcast while it has at most BROADCAST_ROWS hashes whose words take at most BROADCAST_BYTES (checked
+bounds); beyond them the documents are written with a number for each row, the join shuffles their hashes, without
+their words, and comes back to them by that number. Hashes of one document
 and item that have the same surroundings in the item are one row, so repeated lines do not multiply.
 
-Null texts have no words; a null doc_id is a document like others, and so are repeated rows. Null item ids count as no
+Null texts have no words; a null doc_id is a document like others, and so are repeated rows and ids: decisions are
+by row. Null item ids count as no
 item but their windows hit. An empty benchmark hits nothing. Extra columns are ignored.
 """
 
@@ -25,7 +27,7 @@ from chronolith.llm.common import Workspace, table
 WINDOW = 10
 K = 5
 SPAN = WINDOW - K + 1
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whatever is neither an ASCII digit or small letter nor beyond ASCII parts words.
@@ -95,9 +97,14 @@ def contaminated_words(docs: DataFrame, items: DataFrame, work: Workspace | None
     long, short = (work.write(n, d) for n, d in zip(("long", "short"), item_prints(items), strict=True))
     lengths = sorted(r.m for r in short.select("m").distinct().collect())  # nine at most
     item_side = long.selectExpr(f"{WINDOW} m", "h", "item", "before", "gram", "after").union(short.selectExpr("m", "h", "item", "cast(array() as array<string>)", "gram", "cast(array() as array<string>)"))
-    small = item_side.count() <= BROADCAST_ROWS
-
-    read = long_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row")), "text", "doc_id", "row")
+    held = " + ".join(f"octet_length(array_join({c}, ' '))" for c in ("before", "gram", "after"))
+    size = item_side.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(held)).alias("bytes")).first()
+    small = size.rows <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    if not small and row is None:  # the numbers must be the same in both scans
+        own = work.write("rows", own)
+    read = long_prints(own, "text", "doc_id", "row")
     every = F.transform("prints", lambda p: F.struct(F.lit(WINDOW).alias("m"), p["pos"].alias("pos"), p["h"].alias("h")))
     for n in lengths:
         read = read.withColumn(f"h{n}", gram_hashes("w", n))

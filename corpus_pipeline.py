@@ -27,7 +27,8 @@ from chronolith.session import importable
 
 
 def _others(docs: DataFrame, *without: str) -> Column:
-    return F.struct(*[docs[c] for c in docs.columns if c not in ("text", *without)]).alias("rest")
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return F.struct(*[named(c) for c in docs.columns if c not in ("text", *without)]).alias("rest")
 
 
 def _rest(docs: DataFrame, *without: str) -> DataFrame:

@@ -7,7 +7,7 @@ from chronolith.llm import attention_quality as q
 from chronolith.llm import weak_toxicity as t
 from chronolith.llm.common import labelled_texts
 
-SF = "/root/testdata/sf0.1"
+SF = "/root/testdata/sf0.1"  # of the smaller tables a class has too few rows
 
 
 def judged(spark, rows, column):
@@ -21,11 +21,14 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    rows = judged(spark, t.op10_weak_toxicity(spark, SF), "toxic")
+    rows = t.op10_weak_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").filter("held_out").collect()
     toxic = [r for r in rows if r.toxic]
-    assert np.mean([r.predicted for r in toxic]) >= 0.82  # some labels of this table are noise
-    assert np.mean([r.predicted for r in rows if not r.toxic]) <= 0.02
+    assert np.mean([r.predicted for r in toxic]) >= 0.9
+    assert np.mean([r.predicted for r in rows if r.toxic == 0]) <= 0.005
     assert all(r.predicted == int(r.score >= 0.7) for r in rows)
+    # what is missed holds nothing that the labelled toxic texts have in common: no entry of the model fires in it
+    base = min(r.score for r in rows)
+    assert all(r.score < base + 0.05 for r in toxic if not r.predicted)
 
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -53,15 +56,54 @@ def test_sample_is_bounded_and_never_held_out(spark):
     assert labelled_texts(docs, flipped, "quality", 30, 3000) == got
 
 
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (6, 0)], "doc_id long, quality int")
+    assert len(labelled_texts(docs, labels, "quality", 2, 100)) <= 4
+
+
 def test_label_model_finds_accuracies_and_groups():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
     fires = lambda hit, miss: rng.random(4000) < np.where(y, hit, miss)
-    good, weak = fires(0.8, 0.02), fires(0.5, 0.2)
-    model = t.LabelModel(np.stack([good, good, good, weak, fires(0.6, 0.05)], axis=1), np.where(good, 0.9, 0.1))
-    assert model.weight[:3].max() < 0.4 and model.weight[3:].min() > 0.9
-    assert model.accuracy[0] > model.accuracy[3]
-    assert np.mean((model.posterior(np.stack([good, good, good, weak, fires(0.6, 0.05)], axis=1)) > 0.5) == y) > 0.85
+    good, weak, blind = fires(0.8, 0.02), fires(0.5, 0.2), fires(0.5, 0.5)
+    fired = np.stack([good, good, good, weak, fires(0.6, 0.05), blind, ~good & ~weak], axis=1)
+    abstains = np.array([False] * 4 + [True] + [False] * 2)
+    model = t.LabelModel(fired, np.where(good, 0.9, 0.1), 0.3, abstains, y ^ (rng.random(4000) < 0.05))
+    assert model.tied[0, :3].tolist() == [1, 1, 1] and model.tied[3].sum() == 1
+    # how often the class that a voter speaks for holds where it fires, against the truth
+    for j in range(7):
+        assert abs(model.accuracy[j] - np.mean(y[fired[:, j]] == model.speaks[j])) < 0.2
+    assert model.accuracy[0] > model.accuracy[3] > 0.4 and model.useful[0] and not model.speaks[6]
+    assert np.mean((model.posterior(fired) > 0.5) == y) > 0.8
+    # by hand: prior odds, and one vote a group of the voters that fire, useful ones only
+    for i in range(50):
+        on = [j for j in range(7) if (fired[i, j] or not abstains[j]) and model.useful[j]]
+        r = np.where(fired[i], model.rates, 1 - model.rates)
+        odds = np.log(0.3 / 0.7) + sum(np.log(r[1, j] / r[0, j]) / sum(model.tied[j, k] for k in on) for j in on)
+        assert abs(model.posterior(fired[i : i + 1])[0] - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))) < 1e-9
+
+
+def test_linear_gradient():
+    rng = np.random.default_rng(2)
+    rows, cols, post = rng.integers(0, 12, 60), rng.integers(0, 5, 60), rng.random(12)
+    w, b = rng.normal(size=5), 0.3
+    _, grad = t.linear_loss(w, b, rows, cols, post)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        up, down = (t.linear_loss(w + s * step[:5], b + s * step[5], rows, cols, post)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - grad[k]) < 1e-6
+
+
+def test_scores_equal_sums_over_what_fires():
+    model = ({"bad": 2.0, "wors*": 1.0, "wors@": 3.0, "wor*": 0.5}, -2.0)
+    scorer = t.Scorer(model)
+    for text in ("", None, "bad", "Bad, BAD worst", "worst worse words", "word " * 3000 + "bad worst", "x bad" * 3, "fine words " * 40 + "worst worse"):
+        found = t.entries_of(text or "")
+        want = 1 / (1 + np.exp(-(model[1] + sum(w for e, w in model[0].items() if e in found))))
+        assert abs(scorer.score(text) - want) < 1e-12
+    assert scorer.score("word " * 3000 + "bad") < scorer.score("word " * 300 + "bad")  # a chance hit in a long text
 
 
 def test_attention_finds_the_bad_passage():
@@ -72,7 +114,36 @@ def test_attention_finds_the_bad_passage():
     assert model.score([q.bag(good * 2)])[0] > 0.5 > model.score([q.bag(good + bad + good)])[0]
 
 
+def test_attention_gradient():
+    """Against differences, for every kind of weight."""
+    rng = np.random.default_rng(4)
+    texts = ["ab cd ef " * 30 + "gh", "x y", "", "One two, THREE! 4 " * 40]
+    bags = [q.bag(t) for t in texts]
+    model = q.AttentionModel.drawn(rng, np.zeros(q.N_FEATURES), np.ones(q.N_FEATURES))
+    model.p["E"] = rng.normal(size=model.p["E"].shape)
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([0.5, 2, 1, 1])
+    _, grad = model.loss(bags, y, weight)
+    for k, g in grad.items():
+        flat = np.flatnonzero(g) if g.ndim else np.array([0])
+        for i in rng.choice(flat, min(6, len(flat)), replace=False):
+            at = np.unravel_index(i, g.shape)
+            kept, found = model.p[k][at], []
+            for step in (1e-6, -1e-6):
+                model.p[k][at] = kept + step
+                found.append(model.loss(bags, y, weight)[0])
+            model.p[k][at] = kept
+            assert abs((found[0] - found[1]) / 2e-6 - g[at]) < 1e-5, k
+
+
+def test_passages_cover_the_text():
+    words_ = [f"w{i}" for i in range(q.WORDS * 2 + 5)]
+    features, ids, sizes = q.bag(" ".join(words_))
+    assert sizes == [q.WORDS, q.WORDS, 5] and len(features) == 3 and ids.shape == (len(words_), q.PARTS_OF)
+    assert (ids == np.concatenate([q.bag(w)[1] for w in words_])).all()
+    assert q.bag(None)[2] == q.bag("  ")[2] == [0] and len(q.bag("")[0]) == 1
+
+
 def test_shouting_is_heard_in_the_whole_text():
     text = "quiet " * 700 + "LOUD " * 1500
     fired = t.votes([text, text[:4200]], [t.entries_of(text), t.entries_of(text[:4200])], [])
-    assert fired[:, 2].tolist() == [True, False]
+    assert fired[:, t.PATTERNS.index("shouting")].tolist() == [True, False]

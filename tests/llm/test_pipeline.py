@@ -77,3 +77,13 @@ def test_decisions_are_by_row(spark):
     assert left(dedup, [(4, c, "x"), (4, d, "x"), (9, d, "x"), (6, e, "x"), (6, f, "x")]) in (sorted([(4, c), (9, d), (6, e)], key=repr), sorted([(4, c), (9, d), (6, f)], key=repr))
     clean = corpus_pipeline.benchmark_decontamination
     assert left(clean, [(None, leak, "x"), (None, a, "x"), (8, leak, "x"), (8, b, "x")]) == sorted([(None, a), (8, b)], key=repr)
+
+
+def test_columns_of_any_name_and_type(spark):
+    schema = "doc_id long, text string, lang string, `my col` struct<`a b`:int,`c:d`:array<struct<`e-f`:string>>>, `x.y` int, n_chars long"
+    rows = [(i, f"some text number {i} password=0123456789abcdef", "en", (i, [("z",)]), i, 5) for i in range(20)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.secret_scan):
+        got = stage(spark, docs, SF)
+        assert got.dtypes == docs.dtypes and got.count() == 20
+    assert {tuple(r["my col"]["c:d"][0]) for r in got.collect()} == {("z",)}
