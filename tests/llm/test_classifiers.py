@@ -114,35 +114,6 @@ def test_attention_finds_the_bad_passage():
     assert model.score([q.bag(good * 2)])[0] > 0.5 > model.score([q.bag(good + bad + good)])[0]
 
 
-def test_attention_gradient():
-    """Against differences, for every kind of weight."""
-    rng = np.random.default_rng(4)
-    texts = ["ab cd ef " * 30 + "gh", "x y", "", "One two, THREE! 4 " * 40]
-    bags = [q.bag(t) for t in texts]
-    model = q.AttentionModel.drawn(rng, np.zeros(q.N_FEATURES), np.ones(q.N_FEATURES))
-    model.p["E"] = rng.normal(size=model.p["E"].shape)
-    y, weight = np.array([1.0, 0, 1, 0]), np.array([0.5, 2, 1, 1])
-    _, grad = model.loss(bags, y, weight)
-    for k, g in grad.items():
-        flat = np.flatnonzero(g) if g.ndim else np.array([0])
-        for i in rng.choice(flat, min(6, len(flat)), replace=False):
-            at = np.unravel_index(i, g.shape)
-            kept, found = model.p[k][at], []
-            for step in (1e-6, -1e-6):
-                model.p[k][at] = kept + step
-                found.append(model.loss(bags, y, weight)[0])
-            model.p[k][at] = kept
-            assert abs((found[0] - found[1]) / 2e-6 - g[at]) < 1e-5, k
-
-
-def test_passages_cover_the_text():
-    words_ = [f"w{i}" for i in range(q.WORDS * 2 + 5)]
-    features, ids, sizes = q.bag(" ".join(words_))
-    assert sizes == [q.WORDS, q.WORDS, 5] and len(features) == 3 and ids.shape == (len(words_), q.PARTS_OF)
-    assert (ids == np.concatenate([q.bag(w)[1] for w in words_])).all()
-    assert q.bag(None)[2] == q.bag("  ")[2] == [0] and len(q.bag("")[0]) == 1
-
-
 def test_shouting_is_heard_in_the_whole_text():
     text = "quiet " * 700 + "LOUD " * 1500
     fired = t.votes([text, text[:4200]], [t.entries_of(text), t.entries_of(text[:4200])], [])
