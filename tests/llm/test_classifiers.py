@@ -111,7 +111,52 @@ def test_attention_finds_the_bad_passage():
     bad = "XX!! YY!! ZZ!! QQ!! " * 30
     sample = [(good * (1 + i % 3), 1) for i in range(60)] + [(good + bad + good if i % 2 else bad, 0) for i in range(60)]
     model = q.fit(sample)
-    assert model.score([q.bag(good * 2)])[0] > 0.5 > model.score([q.bag(good + bad + good)])[0]
+    scores = model.score_texts([good * 2, good + bad + good, None])
+    assert scores[0] > 0.5 > scores[1] and 0 <= scores[2] <= 1
+
+
+def test_attention_learns_from_words_alone():
+    rng = np.random.default_rng(1)
+    words = {1: ["stone", "river", "cloud", "field", "house"], 0: ["plant", "table", "chair", "grass", "night"]}
+    texts = [(" ".join(rng.choice(words[i % 2], 60)), i % 2) for i in range(200)]
+    model = q.fit(texts[:120])
+    assert np.mean((model.score_texts([t for t, _ in texts[120:]]) > 0.5) == [y for _, y in texts[120:]]) > 0.95
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(3)
+    texts = ["one two three " * 40, "", "ONE!! TWO 33", "four five " * 30 + "six"]
+    words_of = q.Words()
+    bags = [(np.array(f), words_of(w)) for w, f in (q.passages(t) for t in texts)]
+    model = q.AttentionModel.drawn(rng, np.zeros(q.N_FEATURES), np.ones(q.N_FEATURES))
+    y, weight = np.array([1.0, 0, 0, 1]), np.array([0.5, 1, 2, 1])
+    _, grad = model.loss(bags, words_of.parts(), y, weight)
+    for k, g in grad.items():
+        flat = np.flatnonzero(np.ravel(g))[:40]
+        assert len(flat)
+        for i in flat:
+            values = []
+            for step in (1e-6, -1e-6):
+                kept = model.p[k]
+                moved = np.array(kept, float).ravel()
+                moved[i] += step
+                model.p[k] = moved.reshape(np.shape(kept))
+                values.append(model.loss(bags, words_of.parts(), y, weight)[0])
+                model.p[k] = kept
+            assert abs((values[0] - values[1]) / 2e-6 - np.ravel(g)[i]) < 1e-6
+
+
+def test_encoder_is_the_mean_of_the_parts_and_forgets(monkeypatch):
+    vectors = np.random.default_rng(4).normal(size=(q.BUCKETS, q.HIDDEN))
+    words = [f"w{i % 37}" for i in range(q.STRETCH + 100)]
+    want = []
+    for a in range(0, len(words), q.WORDS):
+        parts = [q.Words.parts_of(w) for w in words[a : a + q.WORDS]]
+        want.append(vectors[np.concatenate(parts)].mean(axis=0))
+    assert np.allclose(q.Encoder(vectors)(words), want, atol=1e-5)
+    monkeypatch.setattr(q, "REMEMBERED", 100)
+    assert np.allclose(q.Encoder(vectors)(words), want, atol=1e-5)
+    assert q.Encoder(vectors)([]).shape == (1, q.HIDDEN)
 
 
 def test_shouting_is_heard_in_the_whole_text():
