@@ -51,7 +51,7 @@ def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
     """(repo_id, oid, depth, pops): depth is the longest distance from a tip, pops the place in the newest-first walk.
 
     One task holds the skeleton (ids, parents, times) of one repository: about 100 bytes a commit. For one repository
-    beyond a task's memory use reachable_by_rounds.
+    beyond a task's memory use reachable_contracted.
     """
 
     def each(key: tuple, rows: pa.Table) -> pa.Table:
@@ -81,16 +81,101 @@ def reachable_by_rounds(commits: DataFrame, tips: DataFrame, work: Workspace | N
     return seen
 
 
-def log(commits: DataFrame, tips: DataFrame, order: str = "time", offset: int | None = None, limit: int | None = None) -> DataFrame:
+def distances(lengths: dict[str, dict[str, int]], tips: list[str]) -> dict[str, int]:
+    """Longest distance from the tips of each vertex that they reach, over edges (from, to: length)."""
+    seen, ready = set(tips), list(tips)
+    while ready:
+        for p in lengths.get(ready.pop(), ()):
+            if p not in seen:
+                seen.add(p)
+                ready.append(p)
+    waits = dict.fromkeys(seen, 0)
+    for at in seen:
+        for p in lengths.get(at, ()):
+            waits[p] += 1
+    far, ready = dict.fromkeys(seen, 0), [at for at in seen if not waits[at]]
+    while ready:
+        at = ready.pop()
+        for p, length in lengths.get(at, {}).items():
+            far[p] = max(far[p], far[at] + length)
+            waits[p] -= 1
+            if not waits[p]:
+                ready.append(p)
+    return far
+
+
+def reachable_contracted(commits: DataFrame, tips: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(repo_id, oid, depth) as from `reachable`, for a repository beyond one task's memory.
+
+    Commits with one parent, one child and no tip are inner; pointer doubling (log2 of the longest run, in joins) finds
+    each one's nearest descendant that is not, its head, and how far that is. What meets in a task is a repository's
+    contracted graph alone: its merges, branch points, tips and ends, about 100 bytes each, however long the runs are.
+    """
+    work, key = work or Workspace(commits.sparkSession, "contracted"), ["repo_id", "oid"]
+    known = commits.select(*key).distinct()
+    edges = commits.select(*key, F.explode("parents").alias("parent")).distinct()
+    edges = work.write("edges", edges.join(known.selectExpr("repo_id", "oid parent"), ["repo_id", "parent"], "left_semi"))
+    asked = tips.select(*key).distinct().withColumn("is_tip", F.lit(True))
+    down = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n_down"))
+    up = edges.groupBy("repo_id", F.col("parent").alias("oid")).agg(F.count(F.lit(1)).alias("n_up"), F.min("oid").alias("child"))
+    nodes = known.join(down, key, "left").join(up, key, "left").join(asked, key, "left")
+    inner = F.coalesce((F.col("n_down") == 1) & (F.col("n_up") == 1) & F.col("is_tip").isNull(), F.lit(False))
+    nodes = work.write("nodes", nodes.select(*key, "child", inner.alias("inner"), F.coalesce("is_tip", F.lit(False)).alias("is_tip")))
+    jump, n = work.write("j0", nodes.filter("inner").selectExpr("repo_id", "oid", "child to", "1L hops", "true open")), 0
+    while sized(jump.filter("open")) and n < 64:  # a ring of inner commits, which no tip reaches, would never end
+        n += 1
+        further = jump.selectExpr("repo_id", "oid to", "to _to", "hops _hops")
+        moved = jump.join(further, ["repo_id", "to"], "left").selectExpr("repo_id", "oid", "coalesce(_to, to) to", "hops + coalesce(_hops, 0L) hops", "_to is not null open")
+        jump = work.write(f"j{n}", moved)
+        work.drop(f"j{n - 1}")
+    heads = jump.filter("not open").selectExpr("repo_id", "oid", "to head", "hops")
+    ends = nodes.filter("not inner")
+    bones = edges.join(ends.selectExpr("repo_id", "oid parent"), ["repo_id", "parent"], "left_semi").join(heads, key, "left")
+    bones = bones.selectExpr("repo_id", "coalesce(head, oid) oid", "parent", "coalesce(hops, 0L) + 1 length").groupBy(*key, "parent").agg(F.max("length").alias("length"))
+    rows = bones.unionByName(ends.filter("is_tip").select(*key), allowMissingColumns=True)
+
+    def each(group: tuple, rows: pa.Table) -> pa.Table:
+        repo, lengths, tip = group[0].as_py(), {}, []
+        for oid, parent, length in zip(*(rows.column(c).to_pylist() for c in ("oid", "parent", "length")), strict=True):
+            if parent is None:
+                tip.append(oid)
+            else:
+                lengths.setdefault(oid, {})[parent] = length
+        far = distances(lengths, tip)
+        return pa.table({"repo_id": pa.array([repo] * len(far), pa.string()), "oid": pa.array(list(far), pa.string()), "depth": pa.array(list(far.values()), pa.int64())})
+
+    far = work.write("far", rows.groupBy("repo_id").applyInArrow(each, "repo_id string, oid string, depth long"))
+    inside = heads.join(far.selectExpr("repo_id", "oid head", "depth"), ["repo_id", "head"]).selectExpr("repo_id", "oid", "depth + hops depth")
+    return far.unionByName(inside).withColumn("depth", F.col("depth").cast("int"))
+
+
+def ranked_by_ranges(found: DataFrame, order: list, work: Workspace) -> DataFrame:
+    """`rank` from 0 within repo_id, without a repository in one task: ranges are ranked alone and follow each other."""
+    ranges = work.write("ranges", found.repartitionByRange("repo_id", *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("repo_id", "_range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("repo_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("repo_id", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    local = ranges.withColumn("rank", F.row_number().over(W.partitionBy("repo_id", "_range").orderBy(*order)) - 1)
+    return local.join(before, ["repo_id", "_range"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_range", "_before")
+
+
+def log(commits: DataFrame, tips: DataFrame, order: str = "time", offset: int | None = None, limit: int | None = None, spread: bool = False) -> DataFrame:
     """The reachable commits with `rank`, from 0, per repository.
 
     order='time' sorts by committer time, newest first, then depth and id: no commit precedes a child of its own second.
     order='traversal' is the walk that takes the newest commit seen so far, which differs where a parent is newer than
-    its child. offset and limit page through each repository.
+    its child. offset and limit page through each repository. spread=True is for repositories beyond a task's memory:
+    the same rows in time order from the contracted graph and by ranges; the walk is one sequence and has no such form.
     """
-    found = commits.join(reachable(commits, tips), ["repo_id", "oid"])
+    if spread and order == "traversal":
+        raise ValueError("a walk in the order of traversal is one sequence; spread works for order='time'")
     by = [F.col("pops")] if order == "traversal" else [F.col("committer_time").desc(), F.col("depth"), F.col("oid")]
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy(*by)) - 1).drop("pops")
+    if spread:
+        work = Workspace(commits.sparkSession, "log")
+        ranked = ranked_by_ranges(commits.join(reachable_contracted(commits, tips, work), ["repo_id", "oid"]), by, work)
+    else:
+        found = commits.join(reachable(commits, tips), ["repo_id", "oid"])
+        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy(*by)) - 1).drop("pops")
     if offset is not None:
         ranked = ranked.filter(F.col("rank") >= offset)
     if limit is not None:

@@ -288,17 +288,30 @@ DAG = """SELECT user_id::VARCHAR AS repo_id, event_id, sha1('commit ' || event_i
     count(*) OVER (PARTITION BY user_id) - row_number() OVER w AS depth, date_diff('second', TIMESTAMP '1970-01-01', ts) - CASE WHEN event_id % 13 = 0 THEN 90000 ELSE 0 END AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
 
 
-@query(f"SELECT repo_id, oid, t AS committer_time, depth, row_number() OVER (PARTITION BY repo_id ORDER BY t DESC, depth, oid) - 1 AS rank, (n > 1)::BIGINT + (p2 IS NOT NULL)::BIGINT + (n % 11 = 0)::BIGINT AS n_parents FROM ({DAG})")
-def log_merges(spark, sf_dir):
-    """Merges, skewed clocks, several tips of which one is missing, and parents that are missing."""
+MERGED = f"SELECT repo_id, oid, t AS committer_time, depth, row_number() OVER (PARTITION BY repo_id ORDER BY t DESC, depth, oid) - 1 AS rank, (n > 1)::BIGINT + (p2 IS NOT NULL)::BIGINT + (n % 11 = 0)::BIGINT AS n_parents FROM ({DAG})"
+
+
+def _merged_log(spark, sf_dir, **how):
     events = table(spark, sf_dir, "events")
     merged = adapters.event_merges(events)
     tips = adapters.event_tips(events)
     asked = tips.union(tips.selectExpr("repo_id", "sha1('nowhere') oid")).union(merged.filter("n % 17 = 0").select("repo_id", "oid"))
-    rows = log.log(merged.drop("n"), asked)
+    rows = log.log(merged.drop("n"), asked, **how)
     return rows.select("repo_id", "oid", "committer_time", F.col("depth").cast("long").alias("depth"), F.col("rank").cast("long").alias("rank"), F.size("parents").cast("long").alias("n_parents"))
 
 
+@query(MERGED)
+def log_merges(spark, sf_dir):
+    """Merges, skewed clocks, several tips of which one is missing, and parents that are missing."""
+    return _merged_log(spark, sf_dir)
+
+
+@query(MERGED)
+def log_spread(spark, sf_dir):
+    """The same without any repository in one task."""
+    return _merged_log(spark, sf_dir, spread=True)
+
+
 # --- trees -----------------------------------------------------------------------------------------------------------
 
 PATHS = r"""p AS (SELECT DISTINCT rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS path FROM pages WHERE rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') <> ''),

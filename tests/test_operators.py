@@ -1,5 +1,7 @@
 """Operators on small tables: regressions, skew, limits, streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,30 @@ def test_log_order(spark):
     assert {r.oid: r.depth for r in log.reachable(rows, tips).collect()} == {"e": 0, "d": 1, "c": 2, "b": 3, "a": 4}
     assert {r.oid for r in log.reachable_by_rounds(rows, tips).collect()} == set("edcba")
     assert [r.oid for r in log.first_parent_chain(rows, tips).orderBy("depth").collect()] == list("edcba")
+    assert [r.oid for r in log.log(rows, tips, spread=True).orderBy("rank").collect()] == ["b", "e", "d", "c", "a"]
+    with pytest.raises(ValueError):
+        log.log(rows, tips, order="traversal", spread=True)
+
+
+def test_contracted_graph_equals_the_walk(spark):
+    rng, rows, tips, want = random.Random(5), [], [], {}
+    for repo in ("p", "q", "s"):
+        n = 150
+        parents = {i: sorted({i + 1} | ({min(n, i + rng.randint(2, 30))} if rng.random() < 0.1 else set())) if rng.random() < 0.98 else [] for i in range(n)}
+        start = [0] + rng.sample(range(n), 2 if repo != "s" else 0)
+        rows += [(repo, f"c{i}", "t", [f"c{p}" for p in ps] * (1 + (i % 40 == 0)), 0, 1000 - i + rng.randint(0, 3), "") for i, ps in parents.items()]
+        tips += [(repo, f"c{i}") for i in start]
+        far = {i: 0 for i in start}
+        for i in range(n):  # parents have greater numbers
+            for p in parents[i] if i in far else []:
+                if p < n:
+                    far[p] = max(far.get(p, 0), far[i] + 1)
+        want |= {(repo, f"c{i}"): d for i, d in far.items()}
+    frame, asked = spark.createDataFrame(rows, COMMITS), spark.createDataFrame(tips, "repo_id string, oid string")
+    assert {(r.repo_id, r.oid): r.depth for r in log.reachable_contracted(frame, asked).collect()} == want
+    whole, spread = ([tuple(r) for r in log.log(frame, asked, spread=x).select("repo_id", "rank", "oid", "depth").orderBy("repo_id", "rank").collect()] for x in (False, True))
+    assert whole == spread
+    assert log.reachable_contracted(frame, asked.limit(0)).count() == 0
 
 
 def test_symbolic_refs(spark):
