@@ -308,7 +308,7 @@ def log_merges(spark, sf_dir):
 
 @query(MERGED)
 def log_spread(spark, sf_dir):
-    """The same without any repository in one task."""
+    """The same; only contracted graphs, not whole repositories, meet in a task."""
     return _merged_log(spark, sf_dir, spread=True)
 
 
